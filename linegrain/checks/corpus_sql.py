@@ -106,3 +106,25 @@ obs AS (
          'SRC' || (conv_id % 20), turn || '.' || line_no, line_no,
          {up(surface("line"))}, {quantity("line")}, 'conv:' || conv_id, 'role=' || role
   FROM raw_talk)"""
+
+VM_ROWS = rf"""vm_tokens AS (SELECT DISTINCT t FROM (SELECT unnest({toks("line")}) AS t FROM raw_docs)),
+vm_rows AS (
+  SELECT unnest(CASE right(t, 1)
+    WHEN ',' THEN [{{'variant': t, 'canonical': s, 'status': 'exact', 'confidence': '1.0', 'notes': 'comma'}}]
+    WHEN '.' THEN [{{'variant': t, 'canonical': s, 'status': 'high', 'confidence': '0.92', 'notes': 'stop'}}]
+    WHEN '#' THEN [{{'variant': t, 'canonical': s, 'status': 'uncertain', 'confidence': '0.35', 'notes': 'hash'}}]
+    WHEN '%' THEN [{{'variant': t, 'canonical': s, 'status': '', 'confidence': 'n/a', 'notes': ''}}]
+    WHEN '$' THEN [{{'variant': t, 'canonical': '', 'status': 'canonical', 'confidence': '0.7', 'notes': 'dollar'}}]
+    WHEN '*' THEN [{{'variant': t, 'canonical': s, 'status': 'exact', 'confidence': '0.9', 'notes': 'star'}},
+                   {{'variant': t, 'canonical': s || '*', 'status': 'exact', 'confidence': '0.6', 'notes': 'starred'}}]
+    WHEN '&' THEN [{{'variant': ' ' || t, 'canonical': s, 'status': 'Strict', 'confidence': '1.7', 'notes': 'amp'}}]
+    END, recursive := true)
+  FROM (SELECT t, regexp_extract(t, '^(\p{{L}}+)', 1) AS s FROM vm_tokens
+        WHERE regexp_matches(t, '^\p{{L}}+[^\p{{L}}\p{{N}}]+$'))),
+vm AS (
+  SELECT {up("trim(variant)")} AS variant,
+         coalesce(nullif({up("trim(canonical)")}, ''), {up("trim(variant)")}) AS canonical,
+         coalesce(nullif(lower(trim(status)), ''), 'exact') AS status,
+         greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(TRY_CAST(confidence AS DOUBLE), 1.0::DOUBLE)))
+           AS confidence, trim(notes) AS notes
+  FROM vm_rows WHERE trim(variant) <> '')"""

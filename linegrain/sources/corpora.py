@@ -6,11 +6,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linegrain.functions import text as tx
 from linegrain.scale import group_rank
+from linegrain.sources.files import variant_map
 
 # Events in one line; a longer session goes on in another line.
 MAX_LINE = 1_000
@@ -124,3 +125,41 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
         "provenance",
         "notes",
     )
+
+
+def variant_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Variant map rows, as strings, for tokens of ``documents`` that end in punctuation."""
+    docs = text_lines(table(spark, folder, "documents"), "doc_id", "text")
+    t, stem, last = F.col("t"), F.regexp_extract("t", r"^(\p{L}+)", 1), F.right("t", F.lit(1))
+    distinct = docs.select(F.explode(tx.tokens(F.col("line"))).alias("t")).distinct()
+
+    def row(variant: Column, canonical: Column, status: str, confidence: str, notes: str) -> Column:
+        return F.struct(
+            variant.alias("variant"),
+            canonical.alias("canonical"),
+            F.lit(status).alias("status"),
+            F.lit(confidence).alias("confidence"),
+            F.lit(notes).alias("notes"),
+        )
+
+    rows = (
+        F.when(last == ",", F.array(row(t, stem, "exact", "1.0", "comma")))
+        .when(last == ".", F.array(row(t, stem, "high", "0.92", "stop")))
+        .when(last == "#", F.array(row(t, stem, "uncertain", "0.35", "hash")))
+        .when(last == "%", F.array(row(t, stem, "", "n/a", "")))
+        .when(last == "$", F.array(row(t, F.lit(""), "canonical", "0.7", "dollar")))
+        .when(
+            last == "*",
+            F.array(
+                row(t, stem, "exact", "0.9", "star"),
+                row(t, F.concat(stem, F.lit("*")), "exact", "0.6", "starred"),
+            ),
+        )
+        .when(last == "&", F.array(row(F.concat(F.lit(" "), t), stem, "Strict", "1.7", "amp")))
+    )
+    punctuated = distinct.where(t.rlike(r"^\p{L}+[^\p{L}\p{N}]+$"))
+    return punctuated.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variant_map(variant_rows(spark, folder))
