@@ -26,22 +26,27 @@ ENTITIES = [
 TOKEN = r"[^\s+-]+"
 SHAPE = r"^[\[\]]*\*?[A-Z0-9?]+[\[\]]*$"
 CATALOG_SHAPE = r"^[\[\]]*(\?|(AB|A)[0-9]+[A-Z0-9?]*|\*[0-9]+[A-Z0-9?]*)[\[\]]*$"
-QUANTITY = r"(?s)^(?:(.*) )?([0-9]{1,18})$"
 
 
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def _last_number(s: Column) -> Column:
+    """The last word of collapsed text if it is a number of up to 18 digits, else NULL."""
+    last = F.substring_index(s, " ", -1)
+    return F.when(last.rlike("^[0-9]{1,18}$"), last)
+
+
 def surface_part(text: Column) -> Column:
     """The text without a closing stand-alone number."""
     s = collapse(text)
-    return F.when(s.rlike(QUANTITY), F.regexp_extract(s, QUANTITY, 1)).otherwise(s)
+    return F.rtrim(F.left(s, F.length(s) - F.coalesce(F.length(_last_number(s)), F.lit(0))))
 
 
 def quantity_part(text: Column) -> Column:
     """The closing stand-alone number, NULL when there is none."""
-    return F.regexp_extract(collapse(text), QUANTITY, 2).try_cast("bigint")
+    return _last_number(collapse(text)).cast("bigint")
 
 
 def tokens(text: Column) -> Column:
