@@ -211,6 +211,16 @@ def lcs_length_any(short: pd.Series, long: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(short, long, strict=True)])
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator, below which the optimizer cannot push filters.
+
+    Without it, filters on an expensive column would carry a copy of the
+    expression down into the join.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def score(pairs: DataFrame, native: bool, threshold: float = THRESHOLD) -> DataFrame:
     """Exact similarity of (signs_a, signs_b) rows; keeps those at or over the threshold.
 
@@ -220,13 +230,11 @@ def score(pairs: DataFrame, native: bool, threshold: float = THRESHOLD) -> DataF
     a, b = F.col("signs_a"), F.col("signs_b")
     m = F.greatest(F.size(a), F.size(b))
     swap = F.size(a) <= F.size(b)
-    cheap = pairs.withColumns(
-        {
-            "p": _same_from(a, b),
-            "s": _same_from(F.reverse(a), F.reverse(b)),
-            "j": F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)),
-        }
-    )
+    n, o = F.least(F.size(a), F.size(b)), F.col("overlap")
+    jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    bound = F.lit(0.6) * (o / m) + F.lit(0.2) * jaccard
+    near = pairs.where((o == n) | (bound >= threshold - 1e-9))
+    cheap = _once(near, p=_same_from(a, b), s=_same_from(F.reverse(a), F.reverse(b)), j=jaccard)
 
     def total(lcs: Column) -> Column:
         lit = F.lit
@@ -238,7 +246,7 @@ def score(pairs: DataFrame, native: bool, threshold: float = THRESHOLD) -> DataF
     possible = cheap.where(total(F.col("overlap")) >= threshold - 1e-9)
     short, long = F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a)
     lcs = lcs_length(short, long) if native else lcs_length_any(short, long)
-    scored = possible.withColumn("lcs", lcs)
+    scored = _once(possible, lcs=lcs)
     return scored.withColumn("similarity", total(F.col("lcs"))).where(
         F.col("similarity") >= threshold
     )
@@ -258,13 +266,15 @@ def similar_pairs(
     body = ["short_class", "long_class", "key", "k", "seq_no", "signs", "elements"]
     ways = F.col("ways")
     salt = F.pmod(F.xxhash64("seq_no"), ways).cast("int")
-    short = keyed.where("as_short").select(*body, "as_long", salt.alias("salt")).alias("a")
+    short = keyed.where("as_short").select(*body, "as_long", salt.alias("salt"))
     long = (
         keyed.where("as_long")
         .select(*body, F.explode(F.sequence(F.lit(0), ways - 1)).alias("salt"))
-        .alias("b")
     )
     on = ["short_class", "long_class", "key", "salt"]
+    # A fixed partition count: the rows are few bytes but much work, so AQE must not merge them.
+    tasks = int(types.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short, long = short.repartition(tasks, *on).alias("a"), long.repartition(tasks, *on).alias("b")
     met = short.join(long, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
     # Both in one class: each pair is wanted once, in order.
     met = met.where(~F.col("a.as_long") | (F.col("a.seq_no") < F.col("b.seq_no")))
@@ -276,12 +286,12 @@ def similar_pairs(
     def side(when_kept: str, when_flipped: str) -> Column:
         return F.when(flip, F.col(when_flipped)).otherwise(F.col(when_kept))
 
-    pairs = once.select(
+    pairs = _once(once, overlap=F.size("common")).select(
         side("a.seq_no", "b.seq_no").alias("seq_no_a"),
         side("b.seq_no", "a.seq_no").alias("seq_no_b"),
         side("a.signs", "b.signs").alias("signs_a"),
         side("b.signs", "a.signs").alias("signs_b"),
-        F.size("common").alias("overlap"),
+        "overlap",
     )
     return score(pairs, native <= NATIVE_LCS, threshold).select(
         "seq_no_a", "seq_no_b", "signs_a", "signs_b", "similarity"
