@@ -163,3 +163,38 @@ def variant_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def variants(spark: SparkSession, folder: str) -> DataFrame:
     return variant_map(variant_rows(spark, folder))
+
+
+# Site codes that event users are spread over, and the tokens of event types.
+SITE_CODES = [
+    "HT", "KN", "ARKH", "PH", "PK", "ZA", "PE", "PS", "SY", "KH", "KE", "MI", "MA", "TH", "KY",
+    "MY", "PYR", "TY", "QQ",
+]
+OBJECT_CODES = [" ", " WC ", " WA ", " Z "]
+EVENT_TOKENS = {
+    "PURCHASE": "GRA", "SIGNUP": "KU", "ERROR": "RO", "CLICK": "AB22", "VIEW": "A12",
+}
+
+
+def coded_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Event lines under catalogue codes, so that codes and tokens carry attributes.
+
+    The user number picks the site and the kind of object; the day of the month
+    is the quantity on every second day.
+    """
+    lines = event_lines(spark, folder)
+    user = F.substring("artifact_id", 2, 20).cast("long")
+    day = F.substring(F.split("line_id", r"\|")[1], 9, 2).cast("long")
+    sites = F.array(*map(F.lit, SITE_CODES))
+    objects = F.array(*map(F.lit, OBJECT_CODES))
+    tokens = F.create_map(*[F.lit(x) for pair in EVENT_TOKENS.items() for x in pair])
+    return lines.select(
+        "line_id",
+        F.concat(
+            F.get(sites, user % len(SITE_CODES)), F.get(objects, user % len(OBJECT_CODES)), user
+        ).alias("artifact_id"),
+        F.transform("signs", lambda t: tokens[t]).alias("signs"),
+        F.when(day % 2 == 0, day).alias("quantity"),
+        F.concat(F.lit("user:"), user).alias("provenance"),
+        F.when(user % 4 == 0, "html").otherwise("external_csv").alias("source_kind"),
+    )
