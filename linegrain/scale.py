@@ -61,6 +61,36 @@ def ordered_index(
     )
 
 
+def ordered_cumsum(
+    df: DataFrame, order: Sequence[Column | str], value: str, name: str = "before"
+) -> DataFrame:
+    """The sum of ``value`` over all earlier rows of a total order, without a global window.
+
+    As in :func:`ordered_index`, only one row per partition is summed centrally;
+    the running sum inside a range partition stays in its task.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = (
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    pinned = cut(ranged).withColumn("_part", F.shiftright("_row", _PARTITION_SHIFT))
+    sums = pinned.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(
+        "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset")
+    )
+    inside = W.partitionBy("_part").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
+    running = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return (
+        pinned.withColumn("_run", running)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(name, (F.col("_offset") + F.col("_run")).cast("long"))
+        .drop("_part", "_row", "_offset", "_run")
+    )
+
+
 def group_rank(
     df: DataFrame,
     group: Sequence[str],
