@@ -176,8 +176,9 @@ def pooled_sql(name: str) -> str:
       exp(-(sum(ll) / sum(tokens))) AS perplexity FROM {name} GROUP BY split, model"""
 
 
-KFOLD = f"""dealt AS (SELECT signs, 'kfold' AS split, ((row_number() OVER (
-      ORDER BY md5(line_id || '|{cv.SEED}'), line_id) - 1) % 5)::VARCHAR AS grp FROM ev),
+def kfold_sql(source: str) -> str:
+    return f"""dealt AS (SELECT signs, 'kfold' AS split, ((row_number() OVER (
+      ORDER BY md5(line_id || '|{cv.SEED}'), line_id) - 1) % 5)::VARCHAR AS grp FROM {source}),
   {q.cells("kf_own", "dealt", ["split", "grp"])}, {q.leave_out("kf", "kf_own", ["grp"])}"""
 
 _SIX = """split, model, folds, test_lines, test_tokens,
@@ -196,7 +197,7 @@ def cv_leave_one_group_out(spark, sf):
 
 @query(
     "cv_kfold",
-    f"WITH {q.EV}, {q.MODEL_KINDS}, {KFOLD} SELECT {_SIX} FROM ({pooled_sql('kf')})",
+    f"WITH {q.EV}, {q.MODEL_KINDS}, {kfold_sql('ev')} SELECT {_SIX} FROM ({pooled_sql('kf')})",
 )
 def cv_kfold(spark, sf):
     return cv.rounded(cv.kfold(corpora.event_lines(spark, sf), tuple(md.MODELS)))
@@ -236,7 +237,8 @@ def cv_vs_baseline(spark, sf):
     return cv.against_baseline(holdout(spark, sf))
 
 
-BAKEOFF = f"""{q.MODEL_KINDS}, {loo_sql("ev")}, {KFOLD}, {metrics_sql("ev")},
+def bakeoff_sql(source: str) -> str:
+    return f"""{loo_sql(source)}, {kfold_sql(source)}, {metrics_sql(source)},
   sch AS ({pooled_sql("loo")} UNION ALL {pooled_sql("kf")}),
   rk AS (SELECT split AS cv_scheme, sch.* EXCLUDE (split), alignment, CASE WHEN
       max(mean_log_likelihood_per_token) OVER w > min(mean_log_likelihood_per_token) OVER w
@@ -266,14 +268,14 @@ def baked(spark, sf):
     return cv.bakeoff(lines, st.alignment(st.structural_metrics(lines)))
 
 
-@query("model_bakeoff", f"WITH {q.EV}, {BAKEOFF} SELECT {_BAKE_COLS} FROM ov")
+@query("model_bakeoff", f"WITH {q.EV}, {q.MODEL_KINDS}, {bakeoff_sql('ev')} SELECT {_BAKE_COLS} FROM ov")
 def model_bakeoff(spark, sf):
     rows = baked(spark, sf).where("cv_scheme <> 'combined'").drop("is_best_model")
     return cv.rounded(rows)
 
 
 @query(
-    "model_combined_winner", f"WITH {q.EV}, {BAKEOFF} SELECT {_BAKE_COLS}, is_best_model FROM comb2"
+    "model_combined_winner", f"WITH {q.EV}, {q.MODEL_KINDS}, {bakeoff_sql('ev')} SELECT {_BAKE_COLS}, is_best_model FROM comb2"
 )
 def model_combined_winner(spark, sf):
     return cv.rounded(baked(spark, sf).where("cv_scheme = 'combined'"))

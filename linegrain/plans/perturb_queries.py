@@ -199,14 +199,14 @@ def coded_observations(spark, sf):
     )
 
 
+def event_variants(spark):
+    rows = [(*v[:3], str(v[3]), v[4]) for v in EVENT_VARIANTS]
+    return files.variant_map(spark.createDataFrame(rows, files.VARIANT_COLUMNS))
+
+
 def mode_lines(spark, sf, mode: str):
     """Canonical lines of the coded corpus, with the columns that the suite needs."""
-    variants = files.variant_map(
-        spark.createDataFrame(
-            [(*v[:3], str(v[3]), v[4]) for v in EVENT_VARIANTS], files.VARIANT_COLUMNS
-        )
-    )
-    view = nz.observation_view(coded_observations(spark, sf), variants, (mode,))
+    view = nz.observation_view(coded_observations(spark, sf), event_variants(spark), (mode,))
     lines = nz.canonical_lines(view)
     key = F.concat_ws("|", "artifact_id", "canonical_sequence", "quantity_key")
     return cut(
@@ -216,6 +216,7 @@ def mode_lines(spark, sf, mode: str):
             "signs",
             "quantity",
             F.col("source_kinds").alias("source_kind"),
+            "origin_count",
         )
     )
 
@@ -251,15 +252,16 @@ SUITE_TABLES = f"""{q.CODED}, {q.MODEL_KINDS}, {_mode_sql("strict")}, {_mode_sql
 
 
 def suite_sql(model: str) -> str:
+    """The suite of the model that the SQL expression ``model`` names."""
     kinds = " ".join(f"WHEN '{n}' THEN '{k}'" for n, (k, _) in pt.SUITE.items())
     wanted = " ".join(f"WHEN '{n}' THEN '{e}'" for n, (_, e) in pt.SUITE.items())
-    return f"""{SUITE_TABLES}, suite AS (SELECT test_name, CASE test_name {kinds} END AS test_type,
+    return f"""suite AS (SELECT test_name, CASE test_name {kinds} END AS test_type,
       model, base AS baseline_log_likelihood, ll AS perturbed_log_likelihood,
       ll - base AS delta_log_likelihood, exp(-base) AS baseline_perplexity,
       exp(-ll) AS perturbed_perplexity, exp(-ll) - exp(-base) AS delta_perplexity,
       CASE test_name {wanted} END AS expected_behavior FROM st_all, (SELECT ll AS base FROM st_all
-        WHERE test_name = 'baseline' AND model = '{model}')
-    WHERE model = '{model}' AND test_name <> 'baseline')"""
+        WHERE test_name = 'baseline' AND model = {model})
+    WHERE model = {model} AND test_name <> 'baseline')"""
 
 
 _SUITE_COLS = """test_name, test_type, model, round(baseline_log_likelihood, 6)
@@ -269,6 +271,7 @@ _SUITE_COLS = """test_name, test_type, model, round(baseline_log_likelihood, 6)
     round(perturbed_perplexity, 6) AS perturbed_perplexity,
     round(delta_perplexity, 6) AS delta_perplexity, expected_behavior"""
 MODEL = "position"
+MODEL_SQL = f"'{MODEL}'"
 
 
 def coded_suite(spark, sf, model: str = MODEL):
@@ -276,14 +279,14 @@ def coded_suite(spark, sf, model: str = MODEL):
     return pt.suite(mode_lines(spark, sf, "strict"), model, modes)
 
 
-@query("pert_scoreboard", f"WITH {suite_sql(MODEL)} SELECT {_SUITE_COLS} FROM suite")
+@query("pert_scoreboard", f"WITH {SUITE_TABLES}, {suite_sql(MODEL_SQL)} SELECT {_SUITE_COLS} FROM suite")
 def pert_scoreboard(spark, sf):
     return cv.rounded(coded_suite(spark, sf))
 
 
 @query(
     "pert_largest_drop",
-    f"""WITH {suite_sql(MODEL)} SELECT test_name, round(delta_log_likelihood, 6)
+    f"""WITH {SUITE_TABLES}, {suite_sql(MODEL_SQL)} SELECT test_name, round(delta_log_likelihood, 6)
       AS delta_log_likelihood FROM suite ORDER BY delta_log_likelihood, test_name LIMIT 1""",
 )
 def pert_largest_drop(spark, sf):
