@@ -105,24 +105,31 @@ def group_rank(
     their group's first number, so that no task sorts a large group alone.
     """
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > limit).select(*group, F.lit(True).alias("_hot"))
+    hot = sizes.where(F.col("_n") > limit)
     small = W.partitionBy(*group).orderBy(*order)
     if hot.isEmpty():
         return df.withColumn(name, F.row_number().over(small).cast("long"))
-    same = [df[g].eqNullSafe(hot[g]) for g in group]
-    flagged = df.join(hot, same, "left").select(df["*"], F.col("_hot"))
+    flagged = _join_groups(df, hot.select(*group, F.lit(True).alias("_hot")), group)
     cold = flagged.where(F.col("_hot").isNull()).drop("_hot")
     cold = cold.withColumn(name, F.row_number().over(small).cast("long"))
     large = ordered_index(
         flagged.where(F.col("_hot").isNotNull()).drop("_hot"), [*group, *order], "_at"
     )
-    starts = large.groupBy(*group).agg(F.min("_at").alias("_first"))
-    same = [large[g].eqNullSafe(starts[g]) for g in group]
     # One row per hot group: at most (rows / limit) of them.
-    ranked = large.join(starts, same, "left").select(
-        *[large[c] for c in df.columns], (F.col("_at") - F.col("_first") + 1).alias(name)
+    starts = large.groupBy(*group).agg(F.min("_at").alias("_first"))
+    ranked = _join_groups(large, starts, group).withColumn(
+        name, F.col("_at") - F.col("_first") + 1
     )
-    return cold.unionByName(ranked)
+    return cold.unionByName(ranked.drop("_at", "_first"))
+
+
+def _join_groups(df: DataFrame, per_group: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Left join on group columns that may be NULL."""
+    renamed = per_group.withColumnsRenamed({g: f"_g_{g}" for g in group})
+    if is_small(renamed):
+        renamed = F.broadcast(renamed)
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    return df.join(renamed, same, "left").drop(*[f"_g_{g}" for g in group])
 
 
 def lookup(

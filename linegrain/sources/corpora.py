@@ -18,7 +18,14 @@ MAX_LINE = 1_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A landed table. A file too small to be split is dealt out over the cores.
+
+    Tables with at least as many scan partitions as cores are left as they
+    are, so nothing is shuffled at scale.
+    """
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def session_lines(events: DataFrame, max_line: int = MAX_LINE) -> DataFrame:
