@@ -477,10 +477,7 @@ def run_publish_latest(spark, sf):
     columns = ["observations", "canonical_entries", "artifact_count"]
     for run in (current, baseline, current):  # the second write of a run replaces the first
         sinks.write_table(runs.where(F.col("run_id") == run), root, "runs", run, columns)
-    written = sinks.read_table(spark, root, "runs").withColumn(
-        "run_id", F.date_format("run_id", "yyyy-MM-dd")
-    )
-    return sinks.latest_run(written)
+    return sinks.latest_run(sinks.read_table(spark, root, "runs"))
 
 
 @query(

@@ -10,18 +10,17 @@ def write_table(
     df: DataFrame, root: str, name: str, run_id: str, columns: list[str] | None = None,
     fmt: str = "parquet",
 ) -> str:
-    """Write ``df`` as the ``run_id`` partition of table ``name``; a rerun replaces only that."""
-    shaped = df.select(*columns) if columns else df
+    """Write ``df`` as the ``run_id`` partition of table ``name``; a rerun replaces only that.
+
+    The partition folder is written by itself, so an empty result replaces an
+    older one too and keeps its schema.
+    """
+    shaped = df.select(*columns) if columns else df.drop("run_id")
     target = f"{root.rstrip('/')}/{name}"
-    writer = (
-        shaped.withColumn("run_id", F.lit(run_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-    )
+    writer = shaped.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
-    writer.format(fmt).save(target)
+    writer.save(f"{target}/run_id={run_id}")
     return target
 
 
@@ -31,8 +30,12 @@ def write_summary(summary: DataFrame, root: str, run_id: str) -> str:
 
 
 def read_table(spark: SparkSession, root: str, name: str, run_id: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-    return df.where(F.col("run_id") == run_id) if run_id else df
+    """All runs of a table, or one; only the folder of that run is read."""
+    target = f"{root.rstrip('/')}/{name}"
+    if run_id is None:
+        return spark.read.parquet(target).withColumn("run_id", F.col("run_id").cast("string"))
+    one = spark.read.option("basePath", target).parquet(f"{target}/run_id={run_id}")
+    return one.withColumn("run_id", F.lit(run_id))
 
 
 def latest_run(runs: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def test_documents_become_numbered_observations(landed):
     assert [r[1:] for r in got] == [
         ("html_original", "HT13", "1", "AB54-AB67 AB22 AB03", 5),
         ("html_original", "HT13", "4", "QA+TU", None),
-        ("raw_annotation", "HT13", "7", "KU RA2", 10),
+        ("raw_annotation", "HT13", "8", "KU RA2", 10),
         ("md_original", "HT13", "1", "KU RA2", 7),
         ("md_original", "HT13", "2", "TE", None),
         ("raw_annotation", "HT13", "2", "DA NE", 2),
