@@ -38,9 +38,10 @@ def drifting(n: int, words: int, seed: int) -> list[tuple[int, str]]:
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_near_chain_and_shared_line(spark, monkeypatch, limit):
-    monkeypatch.setattr(neardup, "PAIRS_PER_POSTING", limit)  # stars first, or all pairs at once
+@pytest.mark.parametrize(("short", "limit"), [(1, 0), (4, 1_000_000)])
+def test_near_chain_and_shared_line(spark, monkeypatch, short, limit):
+    monkeypatch.setattr(neardup, "SHORT", short)  # stars first, or all pairs at once
+    monkeypatch.setattr(neardup, "PAIRS_PER_POSTING", limit)
     docs = drifting(60, 60, 3)
     want = brute.near_components(docs)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
