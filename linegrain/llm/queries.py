@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linegrain.llm import mixing, neardup, packing, quality, tokenfile
+from linegrain.llm import mixing, neardup, packing, quality, repeats, tokenfile
 from linegrain.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,12 @@ def op3_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @_query
 def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
