@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linegrain.llm import mixing, neardup, packing, quality, repeats, tokenfile
+from linegrain.llm import hnsw, mixing, neardup, packing, quality, repeats, tokenfile
 from linegrain.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -21,6 +21,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query
+def op1_sharded_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op3_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
