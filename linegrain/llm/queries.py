@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linegrain.llm import hnsw, mixing, neardup, packing, quality, repeats, tokenfile
+from linegrain.llm import blocks, hnsw, mixing, neardup, packing, quality, repeats, tokenfile
 from linegrain.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,12 @@ def op1_sharded_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+@_query
+def op2_block_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.extract(_table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return found.select("_row.page_id", "_row.url", "text", "n_chars")
+
+
 @_query
 def op3_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
