@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from linegrain.llm.common import STEP_BYTES, mixed, pinned, powers, steps, text_bytes
 
-SIZE, CORE, CELL = 200, 64, 8
+SIZE, CORE, CELL = 200, 40, 8
 _REACH = SIZE - CORE  # the largest offset of an anchor in its window
 
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
