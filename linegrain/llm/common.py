@@ -16,7 +16,7 @@ from linegrain.session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step takes; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def pinned(df: DataFrame, name: str) -> DataFrame:
