@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linegrain.llm import blocks, hnsw, mixing, neardup, packing, quality, repeats, tokenfile
+from linegrain.llm import blocks, hnsw, mixing, neardup, packing, quality, repeats, tokenfile, urllists
 from linegrain.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -43,11 +43,78 @@ def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+ORACLES["op6_lists_as_of"] = r"""
+WITH captures AS (
+  SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+    DATE '2024-01-01' + (page_id % 365)::INT AS day FROM pages),
+entries AS (
+  SELECT CASE WHEN page_id % 5 = 0 THEN regexp_replace(host, '^[^.]+\.', '') ELSE host END AS domain,
+    DATE '2024-01-01' + (page_id * 7 % 365)::INT AS day, page_id % 3 <> 1 AS listed FROM captures),
+daily AS (SELECT domain, day, bool_or(listed) AS listed FROM entries GROUP BY ALL),
+spans AS (
+  SELECT domain, day AS since, listed, COALESCE(LEAD(day) OVER (PARTITION BY domain ORDER BY day), DATE '9999-12-31') AS until
+  FROM daily),
+hits AS (
+  SELECT c.page_id, COUNT(*) AS n FROM captures c JOIN spans s
+    ON s.listed AND c.day >= s.since AND c.day < s.until
+    AND (c.host = s.domain OR (c.host LIKE '%.' || s.domain AND s.domain LIKE '%.%')) GROUP BY 1)
+SELECT c.page_id, c.url, c.host, COALESCE(h.n, 0)::BIGINT AS n_listed, COALESCE(h.n, 0) > 0 AS blocked
+FROM captures c LEFT JOIN hits h USING (page_id)"""
+
+
+@_query
+def op6_lists_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch days and one dated entry a page come from page_id, because pages hold no dates."""
+    first = F.to_date(F.lit("2024-01-01"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", F.date_add(first, (F.col("page_id") % 365).cast("int")))
+    site = urllists.host("url")
+    entries = pages.select(
+        F.when(F.col("page_id") % 5 == 0, F.regexp_replace(site, r"^[^.]+\.", "")).otherwise(site).alias("domain"),
+        F.date_add(first, (F.col("page_id") * 7 % 365).cast("int")).alias("day"),
+        (F.col("page_id") % 3 != 1).alias("listed"),
+    )
+    found = urllists.as_of(captures, entries)
+    return found.select("_row.page_id", "_row.url", "host", "n_listed", "blocked")
+
+
 @_query
 def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
 
+ORACLES["op8_source_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         substr(md5('mix-1:' || doc_id::VARCHAR), 1, 16) AS k
+  FROM documents),
+sources AS (
+  SELECT source, SUM(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, list_extract([5, 2, 1], (((ROW_NUMBER() OVER (ORDER BY source IS NULL, source)) - 1) % 3 + 1)::INT) AS weight
+  FROM sources),
+held AS (
+  SELECT *, 3.0 * source_size / weight AS ratio FROM weighed),
+levels AS (
+  SELECT h.ratio,
+    ((SELECT SUM(source_size) FROM held) - COALESCE((SELECT SUM(3 * source_size) FROM held b WHERE b.ratio < h.ratio), 0))::DOUBLE
+    / (SELECT SUM(weight) FROM held b WHERE b.ratio >= h.ratio)::DOUBLE AS level
+  FROM held h),
+chosen AS (
+  SELECT level FROM levels WHERE level <= ratio ORDER BY ratio LIMIT 1),
+shares AS (
+  SELECT source, source_size, LEAST(3.0 * source_size, (SELECT level FROM chosen) * weight)::DOUBLE AS target FROM held),
+run AS (
+  SELECT d.doc_id, d.size, s.source_size, s.target, floor(s.target)::BIGINT AS budget,
+    COALESCE(SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size
+    + GREATEST(0, LEAST(size, budget - (budget // source_size) * source_size - before)) END::BIGINT AS taken
+FROM run"""
+
+
 @_query
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
