@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linegrain.llm import blocks, hnsw, mixing, neardup, packing, quality, repeats, tokenfile, urllists
+from linegrain.llm import blocks, fixity, hnsw, mixing, neardup, packing, quality, repeats, tokenfile, urllists
 from linegrain.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -43,6 +43,24 @@ def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+ORACLES["op5_merkle_audit"] = r"""
+WITH d AS (SELECT doc_id, source, substr(md5(doc_id::VARCHAR), 1, 2) AS h FROM documents)
+SELECT '{"s":"' || source || '"}' AS shard, doc_id AS "offset",
+  CASE h WHEN '00' THEN 'changed' WHEN '01' THEN 'missing' ELSE 'extra' END AS state
+FROM d WHERE h IN ('00', '01', '02')"""
+
+
+@_query
+def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as records, against a replica that is damaged where the hash of an id says so."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mark = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2)
+    damaged = F.when(mark == "00", F.concat(F.coalesce("text", F.lit("")), F.lit("\0"))).otherwise(F.col("text"))
+    one = docs.where(mark != "02")
+    two = docs.where(mark != "01").withColumn("text", damaged)
+    return fixity.audit(one, two, "source", "doc_id", "text")
+
+
 ORACLES["op6_lists_as_of"] = r"""
 WITH captures AS (
   SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
