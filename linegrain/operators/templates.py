@@ -43,7 +43,7 @@ def templates(lines: DataFrame, share: float = SHARE) -> DataFrame:
     sizes = lines.groupBy(F.size("signs").alias("length")).agg(F.count(F.lit(1)).alias("lines"))
     sizes = sizes.where(F.col("lines") >= 2)
     top = position_counts(lines).groupBy("length", "position").agg(
-        F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n")
+        F.min_by("token", F.struct(-F.col("n"), "token")).alias("token"), F.max("n").alias("n")
     )
     kept = (F.col("n") / F.col("lines") >= share) & (F.col("n") >= 2)
     slots = top.join(sizes, "length").withColumn("slot", F.when(kept, F.col("token")).otherwise("*"))

@@ -122,7 +122,7 @@ def templates_sql(source: str, share: float) -> str:
     tpc AS (SELECT length, position, token, count(*) AS n FROM (SELECT len(signs) AS length,
         generate_subscripts(signs, 1) AS position, unnest(signs) AS token FROM {source})
       GROUP BY ALL),
-    top AS (SELECT length, position, first(token ORDER BY n DESC, token DESC) AS token, max(n) AS n
+    top AS (SELECT length, position, first(token ORDER BY n DESC, token) AS token, max(n) AS n
       FROM tpc GROUP BY length, position),
     sl AS (SELECT length, lines, list(CASE WHEN n / lines >= {share} AND n >= 2 THEN token ELSE '*'
         END ORDER BY position) AS slots FROM top JOIN sz USING (length) GROUP BY length, lines),
