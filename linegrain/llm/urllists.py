@@ -4,8 +4,10 @@ An entry says that from a day on a domain is listed or is not. Entries of a
 domain become intervals that end where its next entry begins; on one day a
 listing wins. A capture is blocked if its host, or a domain above it of at
 least two labels, was listed when it was fetched. Intervals of a domain do not
-overlap, so a capture meets at most one of each of its domains; joins are by
-domain, and adaptive execution splits hot ones.
+overlap, so a capture meets at most one of each of its domains. The as-of join
+takes each domain and fetch day once, so a hot domain has no more rows there
+than days; captures then meet its hits by domain and day, and adaptive
+execution splits a hot day.
 
 Captures with NULL or unreadable url or NULL day stay and are not blocked.
 Entries with NULL in any column say nothing. Equal rows give equal rows.
@@ -47,6 +49,9 @@ def as_of(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     domains = base.withColumn("_domain", F.explode_outer(above))
     listed = intervals(entries).withColumnRenamed("domain", "_listed")
     same = (F.col("_domain") == F.col("_listed")) & (F.col("_day") >= F.col("since")) & (F.col("_day") < F.col("until"))
-    met = domains.join(listed, same, "left")
-    out = met.groupBy("_rid", "_row", "host").agg(F.count("_listed").alias("n_listed"))
+    # What was listed depends on domain and day alone: a domain meets its intervals once a day, however often it was fetched.
+    asked = domains.select("_domain", "_day").dropna().distinct()
+    hits = asked.join(listed, same).select(F.col("_domain").alias("_hit"), F.col("_day").alias("_hit_day"))
+    met = domains.join(hits, (F.col("_domain") == F.col("_hit")) & (F.col("_day") == F.col("_hit_day")), "left")
+    out = met.groupBy("_rid", "_row", "host").agg(F.count("_hit").alias("n_listed"))
     return out.select("_row", "host", "n_listed", (F.col("n_listed") > 0).alias("blocked"))
