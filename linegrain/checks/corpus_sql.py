@@ -14,7 +14,7 @@ def collapse(x: str) -> str:
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
-QUANTITY = r"(?s)^(?:(.*) )?([0-9]{1,18})$"
+QUANTITY = r"(?s)^(?:(.*) )?([0-9]+)$"
 
 
 def surface(x: str) -> str:
@@ -72,7 +72,7 @@ def plausible(t: str) -> str:
 
 
 EV = """ev AS (
-  SELECT concat_ws('|', 'U' || user_id, strftime(ts, '%Y-%m-%d'), '0') AS line_id,
+  SELECT concat_ws('|', 'U' || user_id, strftime(ts, '%Y-%m-%d')) AS line_id,
          'U' || user_id AS artifact_id, 'S' || (user_id % 10) AS site,
          'R' || (user_id % 3) AS region,
          list(upper(event_type) ORDER BY ts, event_id) AS signs

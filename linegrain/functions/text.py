@@ -1,14 +1,11 @@
-"""Text and token rules as Column expressions; nothing here leaves the JVM
-except the full entity table of :func:`unescape_all`."""
+"""Text and token rules as Column expressions; nothing here leaves the JVM."""
 
 from __future__ import annotations
 
-import html
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Words that mark an editorial note instead of a sequence.
 STOP_TOKENS = [
@@ -17,11 +14,8 @@ STOP_TOKENS = [
 ]
 # Words that rule out a catalogue sequence.
 CATALOG_STOP_TOKENS = ["NO", "OF", "IMPRESSIONS", "FRACTION", "SIGN", "SIGNS"]
-# Entities that common pages use; `&amp;` last, so that nothing is decoded twice.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-    ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
-]
+# What HTML reads as a character reference.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 TOKEN = r"[^\s+-]+"
 SHAPE = r"^[\[\]]*\*?[A-Z0-9?]+[\[\]]*$"
@@ -33,9 +27,9 @@ def collapse(text: Column) -> Column:
 
 
 def _last_number(s: Column) -> Column:
-    """The last word of collapsed text if it is a number of up to 18 digits, else NULL."""
+    """The last word of collapsed text if it is a number, else NULL."""
     last = F.substring_index(s, " ", -1)
-    return F.when(last.rlike("^[0-9]{1,18}$"), last)
+    return F.when(last.rlike("^[0-9]+$"), last)
 
 
 def surface_part(text: Column) -> Column:
@@ -45,8 +39,8 @@ def surface_part(text: Column) -> Column:
 
 
 def quantity_part(text: Column) -> Column:
-    """The closing stand-alone number, NULL when there is none."""
-    return _last_number(collapse(text)).cast("bigint")
+    """The closing stand-alone number, NULL when there is none or it is beyond 64 bits."""
+    return _last_number(collapse(text)).try_cast("bigint")
 
 
 def tokens(text: Column) -> Column:
@@ -57,22 +51,68 @@ def groups(text: Column) -> Column:
     return F.regexp_extract_all(F.upper(text), F.lit(r"\S+"), 0)
 
 
-@F.pandas_udf(T.StringType())
-def unescape_all(text: pd.Series) -> pd.Series:
-    """Every named and numeric HTML entity, one Arrow batch at a time."""
-    return text.map(html.unescape, na_action="ignore")
-
-
-def clean_html(fragment: Column, all_entities: bool = False) -> Column:
+def _old_code(i: int) -> str:
+    """What a page means by character code ``i`` of the range that Windows used."""
+    return bytes([i]).decode("cp1252", "ignore") or chr(i)
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _numeric(body: Column) -> Column:
+    """The character of ``#…``, as HTML reads it; ``body`` has no closing semicolon."""
+    hexed = F.lower(F.substring(body, 2, 1)) == "x"
+    digits = F.ltrim(F.when(hexed, F.substr(body, F.lit(3))).otherwise(F.substr(body, F.lit(2))), F.lit("0"))
+    # more digits than any code point has are out of range
+    short = F.when(F.length(digits) <= 10, F.concat(F.lit("0"), digits))
+    code = F.coalesce(
+        F.when(hexed, F.conv(short, 16, 10)).otherwise(short).try_cast("bigint"), F.lit(1 << 40)
+    )
+    # In a page, codes 128 to 159 are those of Windows; five have no character there.
+    old = F.element_at(F.array(*[F.lit(_old_code(i)) for i in range(0x80, 0xA0)]), (code - 0x7F).cast("int"))
+    nothing = (
+        code.between(0x1, 0x8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F)
+        | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    )
+    return (
+        F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd"))
+        .when(code.between(0x80, 0x9F), old)
+        .when(nothing, F.lit(""))
+        .otherwise(_character(code))
+    )
+
+
+def unescape(text: Column) -> Column:
+    """Every named and numeric character reference decoded, in one pass."""
+    # Control characters part the table of standard names; no name or character holds them.
+    names = F.str_to_map(
+        F.lit("\x02".join(f"{k}\x01{v}" for k, v in html5.items())), F.lit("\x02"), F.lit("\x01")
+    )
+    # Names that need no semicolon may be the beginning of a longer word.
+    lengths = sorted({len(k) for k in html5 if not k.endswith(";")}, reverse=True)
+
+    def decoded(found: Column) -> Column:
+        name = F.substr(found, F.lit(2))
+        begun = [
+            F.when(F.length(name) > n, F.concat(names[F.left(name, F.lit(n))], F.substr(name, F.lit(n + 1))))
+            for n in lengths
+        ]
+        named = F.coalesce(names[name], *begun, found)
+        return F.when(name.startswith("#"), _numeric(F.rtrim(name, F.lit(";")))).otherwise(named)
+
+    pieces = F.split(text, REFERENCE)
+    found = F.concat(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), F.array(F.lit("")))
+    parts = F.zip_with(pieces, found, lambda a, b: F.concat(a, F.when(b == "", b).otherwise(decoded(b))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+
+
+def clean_html(fragment: Column) -> Column:
     s = F.regexp_replace(fragment, r"(?i)<br\s*/?>", " ")
     s = F.regexp_replace(s, r"(?i)</?(?:sub|sup)[^>]*>", "")
     s = F.regexp_replace(s, r"<[^>]+>", " ")
-    if all_entities:
-        s = unescape_all(s)
-    else:
-        for entity, char in ENTITIES:
-            s = F.replace(s, F.lit(entity), F.lit(char))
-    return collapse(F.replace(s, F.lit(" "), F.lit(" ")))
+    return collapse(F.replace(unescape(s), F.lit("\u00a0"), F.lit(" ")))
 
 
 def artifact_key(text: Column) -> Column:

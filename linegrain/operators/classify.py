@@ -35,9 +35,6 @@ ANCHORS = [
     ("ku_ro_total_formula", ["KU RO"], 0.58),
     ("ab22_positional_pivot", ["AB22"], 0.54),
 ]
-SIGNS_SHOWN = 80
-SITES_SHOWN = 20
-TAGS_SHOWN = 4
 
 
 def site(artifact: Column) -> Column:
@@ -104,23 +101,25 @@ def attributes(lines: DataFrame) -> DataFrame:
     )
 
 
-def _first_values(df: DataFrame, group: str, value: str, keep: int, separator: str) -> DataFrame:
-    """The first few distinct values of each group, joined; a report column.
-
-    The rank filter runs before the shuffle too, so each task sends at most
-    ``keep`` rows of a group.
-    """
-    order = W.partitionBy(group).orderBy(value)
+def _distinct_values(
+    df: DataFrame, group: str, value: str, separator: str, shown: int | None = None
+) -> DataFrame:
+    """The distinct values of each group in order, joined: all, or the first ``shown`` for a report."""
     distinct = df.select(group, value).where(F.col(value).isNotNull()).distinct()
-    top = distinct.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
-    return top.groupBy(group).agg(
+    if shown is not None:
+        # The rank filter runs before the shuffle too, so each task sends few rows of a group.
+        order = W.partitionBy(group).orderBy(value)
+        distinct = distinct.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= shown)
+    return distinct.groupBy(group).agg(
         F.array_join(F.array_sort(F.collect_list(value)), separator).alias(value)
     )
 
 
-def artifact_metadata(lines: DataFrame) -> DataFrame:
+def artifact_metadata(lines: DataFrame, shown: int | None = None) -> DataFrame:
     """One row per artifact; ``lines`` needs line_id, signs, quantity and provenance.
 
+    Lists of tokens and of sources are whole unless ``shown`` cuts them.
+
     Ties of the modal formula class go to the class of the earliest line.
     """
     base = attributes(lines)
@@ -140,8 +139,8 @@ def artifact_metadata(lines: DataFrame) -> DataFrame:
         F.bool_or(F.col("quantity").isNotNull()).alias("has_numeral"),
     )
     tokens = base.select("artifact_id", F.explode(F.array_distinct("signs")).alias("signs_used"))
-    used = _first_values(tokens, "artifact_id", "signs_used", SIGNS_SHOWN, " ")
-    tags = _first_values(base, "artifact_id", "provenance", TAGS_SHOWN, "; ")
+    used = _distinct_values(tokens, "artifact_id", "signs_used", " ", shown)
+    tags = _distinct_values(base, "artifact_id", "provenance", "; ", shown)
     artifact = F.col("artifact_id")
     where = site(artifact)
     obj = object_class(artifact)
@@ -198,15 +197,15 @@ def metadata_coverage(metadata: DataFrame) -> DataFrame:
     )
 
 
-def formula_inventory(metadata: DataFrame) -> DataFrame:
-    """One row per formula class with its sites, usual object and confidence."""
+def formula_inventory(metadata: DataFrame, shown: int | None = None) -> DataFrame:
+    """One row per formula class with its sites (all, or the first ``shown``), usual object and confidence."""
     kinds = metadata.groupBy("formula_class", "object_type").agg(F.count(F.lit(1)).alias("n"))
     usual = kinds.groupBy("formula_class").agg(
         F.min_by("object_type", F.struct((-F.col("n")).alias("n"), "object_type")).alias("dominant_object_type")
     )
-    sites = _first_values(
+    sites = _distinct_values(
         metadata.select("formula_class", F.col("site_find_place").alias("sites")),
-        "formula_class", "sites", SITES_SHOWN, "; ",
+        "formula_class", "sites", "; ", shown,
     )
     rolled = metadata.groupBy("formula_class").agg(
         F.count(F.lit(1)).alias("supporting_inscriptions"),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAIN = 0.004
-SHOWN = 8
 RUN_METRICS = ["observations", "canonical_entries", "artifact_count", "coverage", "final_score"]
 
 
@@ -53,10 +52,13 @@ def best_model(scores: DataFrame) -> DataFrame:
     )
 
 
-def initial_share_gains(shares: DataFrame, baseline: str, current: str) -> DataFrame:
+def initial_share_gains(
+    shares: DataFrame, baseline: str, current: str, shown: int | None = None
+) -> DataFrame:
     """Initial tokens that gained most since the baseline run; a token that was missing had none.
 
-    ``shares`` has run_id, sign and relative_frequency.
+    ``shares`` has run_id, sign and relative_frequency. ``shown`` keeps the
+    largest gains alone, for a report.
     """
     before = shares.where(F.col("run_id") == baseline).select(
         "sign", F.col("relative_frequency").alias("was")
@@ -68,8 +70,8 @@ def initial_share_gains(shares: DataFrame, baseline: str, current: str) -> DataF
     gains = joined.select(
         "sign", "before", "after", F.round(F.col("after") - F.col("before"), 6).alias("gain")
     )
-    # A report of the largest gains.
-    return gains.where(F.col("gain") > GAIN).orderBy(F.desc("gain"), "sign").limit(SHOWN)
+    ordered = gains.where(F.col("gain") > GAIN).orderBy(F.desc("gain"), "sign")
+    return ordered if shown is None else ordered.limit(shown)
 
 
 def leaderboard(rows: DataFrame, name: Column, score: str, time: str, tie: str) -> DataFrame:

@@ -105,11 +105,10 @@ def issues(prepared: DataFrame, repeats: DataFrame, unknown: DataFrame) -> DataF
     inconsistent = warn(
         prepared.where(reached & (F.size("bad") > 0)),
         "inconsistent_sign_ids",
-        F.substring(odd, 1, 300),
+        odd,
     )
-    # The report shows the first 20 unknown tokens of a row; `unknown_tokens` has them all.
     shown = unknown.groupBy("row_number").agg(
-        F.array_join(F.slice(F.array_sort(F.collect_set("token")), 1, 20), ",").alias("shown")
+        F.array_join(F.array_sort(F.collect_set("token")), ",").alias("shown")
     )
     strange = warn(
         prepared.join(shown, "row_number"), "unknown_sign_not_in_inventory", F.col("shown")

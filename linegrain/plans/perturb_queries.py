@@ -59,7 +59,7 @@ def drop_sql(src: str) -> str:
     return f"""kept AS (SELECT * EXCLUDE (rn, m) FROM (SELECT *, row_number() OVER (
         ORDER BY md5(line_id || '|{SEED}'), line_id) AS rn, count(*) OVER () AS m FROM {src}
       WHERE contains(source_kind, 'external_csv'))
-      WHERE m < 5 OR rn > greatest(1, round_even(0.2 * m, 0))
+      WHERE m >= 5 AND rn > greatest(1, round_even(0.2 * m, 0))
     UNION ALL SELECT * FROM {src} WHERE NOT contains(source_kind, 'external_csv'))"""
 
 

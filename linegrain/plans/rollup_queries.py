@@ -133,7 +133,7 @@ def _confidence_sql() -> str:
     f"""WITH {METADATA}, k AS (SELECT formula_class, object_type, count(*) AS n FROM meta GROUP BY ALL),
       u AS (SELECT formula_class, first(object_type ORDER BY n DESC, object_type)
         AS dominant_object_type FROM k GROUP BY formula_class),
-      s AS (SELECT formula_class, array_to_string(list_sort(list(DISTINCT site_find_place))[1:20],
+      s AS (SELECT formula_class, array_to_string(list_sort(list(DISTINCT site_find_place)),
         '; ') AS sites FROM meta GROUP BY formula_class)
     SELECT formula_class, count(*) AS supporting_inscriptions, sites, dominant_object_type,
       count(*) FILTER (accounting_candidate = '1') AS accounting_candidates,
@@ -463,7 +463,7 @@ def run_initial_share_gains(spark, sf):
     for run in (baseline, current):
         part = pf.edge_frequency(lines.where(F.col("run_id") == run)).withColumn("run_id", F.lit(run))
         shares = part if shares is None else shares.unionByName(part)
-    return rn.initial_share_gains(shares, baseline, current)
+    return rn.initial_share_gains(shares, baseline, current, shown=8)
 
 
 @query(

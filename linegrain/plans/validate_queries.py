@@ -58,11 +58,11 @@ ISSUES = f"""WITH {PREPARED}, {INVENTORY}, {UNKNOWN},
       hard AS issue, hard_details AS details FROM prep WHERE hard IS NOT NULL
     UNION ALL SELECT row_number, source_name, artifact_id, line_id, sign_sequence, 'warn',
       'inconsistent_sign_ids',
-      substr(array_to_string(list_sort(list_distinct(bad)), ','), 1, 300) FROM prep
+      array_to_string(list_sort(list_distinct(bad)), ',') FROM prep
       WHERE len(bad) > 0 AND len(valid) > 0
         AND (hard IS NULL OR hard = 'malformed_sequence_after_sanitation')
     UNION ALL SELECT row_number, source_name, artifact_id, line_id, sign_sequence, 'warn',
-      'unknown_sign_not_in_inventory', array_to_string(ts[1:20], ',') FROM prep JOIN (
+      'unknown_sign_not_in_inventory', array_to_string(ts, ',') FROM prep JOIN (
         SELECT row_number, list_sort(list(token)) AS ts FROM unk GROUP BY row_number)
         USING (row_number)
     UNION ALL SELECT row_number, source_name, artifact_id, line_id, sign_sequence, 'warn',

@@ -10,12 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linegrain.functions import text as tx
-from linegrain.scale import group_rank
 from linegrain.sources.files import variant_map
 
-# Events in one line; a longer session goes on in another line.
-MAX_LINE = 1_000
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A landed table. A file too small to be split is dealt out over the cores.
@@ -28,12 +24,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def session_lines(events: DataFrame, max_line: int = MAX_LINE) -> DataFrame:
-    """Event types of each user and day, in time order.
-
-    A session of more than ``max_line`` events is cut into parts, so that no
-    row grows with the activity of one user.
-    """
+def session_lines(events: DataFrame) -> DataFrame:
+    """Event types of each user and day, in time order, one line each."""
     base = events.select(
         "user_id",
         F.to_date("ts").alias("day"),
@@ -41,15 +33,8 @@ def session_lines(events: DataFrame, max_line: int = MAX_LINE) -> DataFrame:
         "event_id",
         F.upper("event_type").alias("sign"),
     )
-    key = ["user_id", "day"]
-    longest = base.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (longest or 0) <= max_line:
-        parts = base.withColumn("part", F.lit(0))
-    else:
-        ranked = group_rank(base, key, ["ts", "event_id"])
-        parts = ranked.withColumn("part", F.floor((F.col("rank") - 1) / max_line).cast("int"))
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "sign")))
-    built = parts.groupBy(*key, "part").agg(
+    built = base.groupBy("user_id", "day").agg(
         F.transform(ordered, lambda e: e["sign"]).alias("signs")
     )
     return built.select(
@@ -57,7 +42,6 @@ def session_lines(events: DataFrame, max_line: int = MAX_LINE) -> DataFrame:
             "|",
             F.concat(F.lit("U"), F.col("user_id")),
             F.date_format("day", "yyyy-MM-dd"),
-            F.col("part").cast("string"),
         ).alias("line_id"),
         F.concat(F.lit("U"), F.col("user_id")).alias("artifact_id"),
         F.concat(F.lit("S"), F.col("user_id") % 10).alias("site"),
