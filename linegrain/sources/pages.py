@@ -59,14 +59,14 @@ def table_rows(
         (F.col("r") + 1).alias("r"),
         F.regexp_extract_all("tr", F.lit(cell), 1).alias("cells"),
     )
-    rows = rows.where(F.size("cells") >= 2).withColumn("label", tx.clean_html(F.col("cells")[0]))
+    rows = rows.where(F.size("cells") >= 2).withColumn("label", tx.clean_html(F.get("cells", F.lit(0))))
     upper = F.upper("label")
     marked = (F.col("r") == 1) & upper.rlike("|".join(HEADER_MARKS))
     body = rows.where(~marked & ~upper.isin(HEADER_LABELS))
     fallback = F.concat(F.lit("table"), "t", F.lit("_row"), "r")
     line = tx.line_key(F.col("label"), fallback)
     parts = F.array(
-        F.struct(F.lit("stmt").alias("part"), F.col("cells")[1].alias("cell")),
+        F.struct(F.lit("stmt").alias("part"), F.get("cells", F.lit(1)).alias("cell")),
         F.struct(F.lit("log").alias("part"), F.get("cells", F.lit(2)).alias("cell")),
     )
     found = body.select(key, "s", "artifact_id", "t", "r", line.alias("line"), F.explode(parts).alias("p"))
