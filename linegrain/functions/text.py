@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -84,16 +85,21 @@ def _numeric(body: Column) -> Column:
     )
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that stands once in the plan, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unescape(text: Column) -> Column:
     """Every named and numeric character reference decoded, in one pass."""
     # Control characters part the table of standard names; no name or character holds them.
-    names = F.str_to_map(
+    table = F.str_to_map(
         F.lit("\x02".join(f"{k}\x01{v}" for k, v in html5.items())), F.lit("\x02"), F.lit("\x01")
     )
     # Names that need no semicolon may be the beginning of a longer word.
     lengths = sorted({len(k) for k in html5 if not k.endswith(";")}, reverse=True)
 
-    def decoded(found: Column) -> Column:
+    def decoded(found: Column, names: Column) -> Column:
         name = F.substr(found, F.lit(2))
         begun = [
             F.when(F.length(name) > n, F.concat(names[F.left(name, F.lit(n))], F.substr(name, F.lit(n + 1))))
@@ -102,10 +108,13 @@ def unescape(text: Column) -> Column:
         named = F.coalesce(names[name], *begun, found)
         return F.when(name.startswith("#"), _numeric(F.rtrim(name, F.lit(";")))).otherwise(named)
 
-    pieces = F.split(text, REFERENCE)
-    found = F.concat(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), F.array(F.lit("")))
-    parts = F.zip_with(pieces, found, lambda a, b: F.concat(a, F.when(b == "", b).otherwise(decoded(b))))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+    def whole(t: Column, names: Column) -> Column:
+        pieces = F.split(t, REFERENCE)
+        found = F.concat(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), F.array(F.lit("")))
+        parts = F.zip_with(pieces, found, lambda a, b: F.concat(a, F.when(b == "", b).otherwise(decoded(b, names))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(parts, "")).otherwise(t)
+
+    return _bound(text, lambda t: _bound(table, lambda names: whole(t, names)))
 
 
 def clean_html(fragment: Column) -> Column:
