@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard.
 
 Equal vectors are one node, with the smallest ids of its rows as its members;
-more members than a query can return are never needed. Nodes are dealt into
+more ids, or more rows of an id, than a query can return are never needed. Nodes are dealt into
 shards by hash. A shard's graph is built in one task, layer by layer from the
 top: every node has a level drawn from its hash, and nodes enter in rounds of
 growing size, each round searching the graph so far for all its nodes at once.
@@ -20,7 +20,11 @@ distance. Results are scored anew on the original vectors in double precision.
 Vectors that are NULL, zero, or hold NULL, NaN or infinite components take no
 part, neither as queries nor as candidates. Vectors of another dimension than
 most rows of the table have take no part either. Rows with NULL or equal ids
-are candidates of their own; a query never returns rows of its own id.
+are candidates of their own; a query never returns rows of its own id. An id
+with several rows is one query: each other row counts once, by its best score.
+Own rows are left out before anything is cut to ``k``: an id with several
+vectors takes a shard's nodes without those that only it has, and where those
+are many, the shard's nodes are compared exactly.
 """
 
 from __future__ import annotations
@@ -179,7 +183,7 @@ def _level_long(vectors: np.ndarray) -> np.ndarray:
     return np.column_stack([vectors, np.sqrt(np.maximum(square.max(initial=0) - square, 0))])
 
 
-_INDEX = "shard int, entry int, layers array<binary>, nodes array<long>, vectors binary"
+_INDEX = "shard int, entry int, layers array<binary>, nodes array<long>, owners array<long>, vectors binary"
 
 
 def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -187,16 +191,54 @@ def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     vectors = np.array(pdf["vector"].tolist(), np.float64)
     shard = int(pdf["shard"].iloc[0])
     made = Graph(_level_long(vectors), seed=shard).arrays()
-    row = {"shard": shard, **made, "nodes": pdf["node"].tolist(), "vectors": vectors.tobytes()}
+    owners = [x[0] if len(x) else None for x in pdf["owner"]]
+    row = {"shard": shard, **made, "nodes": pdf["node"].tolist(), "owners": owners, "vectors": vectors.tobytes()}
     return pd.DataFrame([row])
 
 
-_FOUND = "query long, node long, score double"
+_FOUND = "query long, own long, node long, score double"
+
+
+def _owned(owners: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that own nodes of a shard, in order, with the places of these nodes."""
+    place = np.array([i for i, o in enumerate(owners) if o is not None], np.int64)
+    owner = np.array([o for o in owners if o is not None], np.int64)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], place[order]
+
+
+def _scan(q: np.ndarray, vectors: np.ndarray, barred: list[np.ndarray], k: int) -> np.ndarray:
+    """The nodes with the largest inner products out of all but the barred ones; -1 for none."""
+    score = q @ vectors.T
+    for i, nodes in enumerate(barred):
+        score[i, nodes] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return np.where(np.isfinite(np.take_along_axis(score, best, 1)), best, -1)
+
+
+def _search_others(graph: Graph, vectors: np.ndarray, q: np.ndarray, barred: list[np.ndarray], k: int) -> np.ndarray:
+    """As ``graph.search``, without the barred nodes of each query."""
+    out = np.full((len(q), k), -1, np.int64)
+    most = np.array([len(x) for x in barred])
+    for rows, walks in ((np.flatnonzero(most <= SEARCH_WIDTH), True), (np.flatnonzero(most > SEARCH_WIDTH), False)):
+        if not len(rows):
+            continue
+        away = [barred[i] for i in rows]
+        if walks:
+            more = int(most[rows].max())
+            found = graph.search(np.column_stack([q[rows], np.zeros(len(rows))]), k + more, SEARCH_WIDTH + more)
+            gone = np.array([np.isin(f, a) for f, a in zip(found, away, strict=True)])
+            keep = np.argsort(gone | (found < 0), axis=1, kind="stable")[:, :k]
+            found = np.take_along_axis(np.where(gone, -1, found), keep, 1)
+        else:
+            found = _scan(q[rows], vectors, away, k)
+        out[rows, : found.shape[1]] = found
+    return out
 
 
 def _search_shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows of a partition: of each shard first its index, then the queries."""
-    graph = nodes = vectors = shard = None
+    graph = nodes = vectors = owned = None
     for batch in batches:
         shards = batch.column("shard").to_numpy(zero_copy_only=False)
         is_index = batch.column("is_index").to_numpy(zero_copy_only=False)
@@ -205,21 +247,29 @@ def _search_shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
             part = batch.slice(a, b - a)
             if is_index[a]:
                 row = part.to_pylist()[0]
-                nodes, shard = np.array(row["nodes"], np.int64), row["shard"]
+                nodes, owned = np.array(row["nodes"], np.int64), _owned(row["owners"])
                 vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(nodes), -1)
                 graph = Graph.load(_level_long(vectors), row["entry"], row["layers"])
                 continue
-            queries = part.column("query").to_numpy()
+            queries, own = part.column("query").to_numpy(), part.column("own")
             x = np.array(part.column("vector").to_pylist(), np.float64)
-            for i in range(0, len(x), TOGETHER):
-                own = x[i : i + TOGETHER]
-                found = graph.search(np.column_stack([own, np.zeros(len(own))]), k)
-                score = np.einsum("bd,bkd->bk", own, vectors[np.maximum(found, 0)])
-                row, col = np.nonzero(found >= 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(queries[i : i + TOGETHER][row]), pa.array(nodes[found[row, col]]), pa.array(score[row, col])],
-                    names=["query", "node", "score"],
-                )
+            single = own.is_null().to_numpy(zero_copy_only=False)
+            for which in (np.flatnonzero(single), np.flatnonzero(~single)):
+                for i in range(0, len(which), TOGETHER):
+                    at = which[i : i + TOGETHER]
+                    if single[at[0]]:
+                        found = graph.search(np.column_stack([x[at], np.zeros(len(at))]), k)
+                    else:
+                        ids = np.array(own.take(pa.array(at)).to_pylist(), np.int64)
+                        low, high = (np.searchsorted(owned[0], ids, side) for side in ("left", "right"))
+                        barred = [owned[1][m:n] for m, n in zip(low, high, strict=True)]
+                        found = _search_others(graph, vectors, x[at], barred, k)
+                    score = np.einsum("bd,bkd->bk", x[at], vectors[np.maximum(found, 0)])
+                    row, col = np.nonzero(found >= 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(queries[at][row]), own.take(pa.array(at[row])), pa.array(nodes[found[row, col]]), pa.array(score[row, col])],
+                        names=["query", "own", "node", "score"],
+                    )
 
 
 def _usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -237,49 +287,60 @@ def _usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
 def nearest(
     table: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows of every row whose id is divisible by ``every``."""
+    """(query_id, rank, vec_id, score): the k nearest rows of every id that is divisible by ``every``."""
     rows = _usable(table, vec_id, vector)
     rows = pinned(rows, "ann-rows")
     # the node of equal vectors; its number is unique because it is the place of one written row
-    nodes = rows.groupBy("vector").agg(F.count(F.lit(1)).alias("rows"))
+    one_id = (F.count("vec_id") == F.count(F.lit(1))) & (F.min("vec_id") == F.max("vec_id"))
+    nodes = rows.groupBy("vector").agg(F.when(one_id, F.min("vec_id")).cast("long").alias("owner"))
     nodes = pinned(nodes.withColumn("node", F.monotonically_increasing_id()), "ann-nodes")
     shards = -(-nodes.count() // shard) or 1
-    dealt = nodes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "vector")
+    dealt = nodes.select(
+        F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "vector",
+        F.array_compact(F.array("owner")).alias("owner"),
+    )
     index = pinned(dealt.groupBy("shard").applyInPandas(_build_shard, _INDEX), "ann-index")
 
     numbered = rows.join(nodes.select("vector", "node"), "vector")
+    # rows of k ids and of the query's own, and of an id no more rows than k
     first = W.partitionBy("node").orderBy(F.col("vec_id").asc_nulls_last())
-    # k others and the query itself
-    members = pinned(
-        numbered.select("node", "vec_id").withColumn("_no", F.row_number().over(first)).where(F.col("_no") <= k + 1).drop("_no"),
-        "ann-members",
-    )
-    asked = pinned(
-        numbered.where(F.col("vec_id") % every == 0).select("vec_id", "node", "vector"), "ann-asked"
-    )
-    queries = asked.select(F.col("node").alias("query"), "vector").distinct()
+    copies = numbered.groupBy("node", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
+    members = pinned(copies.withColumn("_no", F.row_number().over(first)).where(F.col("_no") <= k + 1).drop("_no"), "ann-members")
+    asked = numbered.where(F.col("vec_id") % every == 0).groupBy("vec_id", "node").agg(F.first("vector").alias("vector"))
+    asked = pinned(asked, "ann-asked")
+    # an id with several vectors searches by itself; all others share the search of their node
+    several = asked.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id", F.col("vec_id").cast("long").alias("own"))
+    asked = pinned(asked.join(several, "vec_id", "left"), "ann-searches")
+    queries = asked.groupBy(F.col("node").alias("query"), "own").agg(F.first("vector").alias("vector"))
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    left = index.select(F.lit(True).alias("is_index"), "shard", "entry", "layers", "nodes", "vectors",
-                        F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<double>").alias("vector"))
-    right = queries.select("query", "vector", everywhere).select(
+    left = index.select(F.lit(True).alias("is_index"), "shard", "entry", "layers", "nodes", "owners", "vectors",
+                        F.lit(None).cast("long").alias("query"), F.lit(None).cast("long").alias("own"),
+                        F.lit(None).cast("array<double>").alias("vector"))
+    right = queries.select("query", "own", "vector", everywhere).select(
         F.lit(False).alias("is_index"), "shard", F.lit(None).cast("int").alias("entry"),
         F.lit(None).cast("array<binary>").alias("layers"), F.lit(None).cast("array<long>").alias("nodes"),
-        F.lit(None).cast("binary").alias("vectors"), "query", "vector",
+        F.lit(None).cast("array<long>").alias("owners"), F.lit(None).cast("binary").alias("vectors"), "query", "own", "vector",
     )
     together = left.unionByName(right).repartition(shards, "shard").sortWithinPartitions("shard", F.desc("is_index"))
     found = together.mapInArrow(lambda b: _search_shards(b, k + 1), _FOUND)
-    best = W.partitionBy("query").orderBy(F.desc("score"), "node")
+    best = W.partitionBy("query", "own").orderBy(F.desc("score"), "node")
     merged = found.withColumn("_no", F.row_number().over(best)).where(F.col("_no") <= k + 1).drop("_no")
     merged = pinned(merged, "ann-merged")
-    # rows of the merged nodes, the best k + 1 of a query vector, then without the query's own row
-    per_vector = W.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    candidates = (
-        merged.join(members, "node").withColumn("_no", F.row_number().over(per_vector)).where(F.col("_no") <= k + 1)
+    # members of the merged nodes, as long as fewer than k + 1 ids stand before them: one of these may be the asking one
+    per_search = W.partitionBy("query", "own").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "node")
+    per_id = W.partitionBy("query", "own", "vec_id").orderBy(F.desc("score"), "node")
+    new_id = F.when(F.row_number().over(per_id) == 1, 1).otherwise(0)
+    before = F.coalesce(F.sum("_new").over(per_search.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    candidates = merged.join(members, "node").withColumn("_new", new_id).withColumn("_ids", before).where(F.col("_ids") <= k)
+    asking = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"), F.col("own").alias("_own"))
+    answers = asking.join(
+        candidates.select("query", "own", "node", "vec_id", "copies", "score"),
+        (asking["query"] == candidates["query"]) & asking["_own"].eqNullSafe(candidates["own"]),
     )
-    answers = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).join(
-        candidates.select("query", "vec_id", "score"), "query"
-    )
-    rank = W.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     others = answers.where(~F.col("vec_id").eqNullSafe(F.col("query_id")))
-    ranked = others.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    # a row that several vectors of an id find counts once
+    once = others.groupBy("query_id", "node", "vec_id", "copies").agg(F.max("score").alias("score"))
+    rows_ = once.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"))
+    rank = W.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+    ranked = rows_.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
