@@ -9,7 +9,8 @@ from :data:`LABELLED`, a small table of pages whose blocks start with ``+``
 (article) or ``-`` (anything else).
 
 Texts of scripts, styles, comments, form fields and hidden elements are no
-blocks. Character references are decoded, white space inside a block becomes
+blocks. A head without an end tag ends where the body starts: at ``<body>``, or
+right inside the head at an element or text that cannot stand there. Character references are decoded, white space inside a block becomes
 one space, a single line break too; two line breaks in a row end a block.
 
 NULL and empty pages, and pages without an article, give an empty text. Pages
@@ -38,6 +39,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never read.
 SILENT_TAGS = frozenset("head title template noscript svg iframe object canvas textarea select button option datalist".split())
+#: Elements that may stand right inside a head.
+HEAD_TAGS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Elements that stand beside an article.
 BESIDE_TAGS = frozenset("nav footer header aside form dialog menu fieldset".split())
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -55,6 +58,7 @@ _TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<[/!?][^>]*>""",
     re.S | re.I,
 )
+_HELD = re.compile(r"</(title|template)\b", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -106,7 +110,24 @@ def page_blocks(html: str) -> list[dict]:
         linked.clear()
         state["breaks"] = 0
 
+    def leave_head(tag: str, at: int) -> None:
+        """Closes an open head where ``tag`` cannot be part of it; an empty tag stands for text."""
+        place = next((i for i, (x, _) in enumerate(open_) if x == "head"), None)
+        if place is None or tag in HEAD_TAGS:
+            return
+        within = {x for x, _ in open_[place + 1 :]} - {"head"}
+        if within:
+            # <body> written inside a title or template that is closed later is part of that
+            later = within & {"title", "template"} and any(m[1].lower() in within for m in _HELD.finditer(html, at))
+            if tag != "body" or later:
+                return
+        for _, kind in open_[place:]:
+            depth[kind] -= 1
+        del open_[place:]
+
     def add(raw: str) -> None:
+        if depth["silent"] and raw and not raw.isspace() and "<" not in raw:
+            leave_head("", at)
         if depth["silent"] or not raw:
             return
         text = unescape(raw) if "&" in raw else raw
@@ -124,6 +145,8 @@ def page_blocks(html: str) -> list[dict]:
         if not tag:
             continue
         tag = tag.lower()
+        if depth["silent"] and not token[2]:
+            leave_head(tag, at)
         if tag == "br":
             parts.append(" ")
             state["breaks"] += 1

@@ -32,6 +32,25 @@ def test_held_out_pages():
         assert blocks.main_text(page) == want
 
 
+def test_head_without_end_tag():
+    want = "A title\nFirst paragraph of it."
+    article = "<article><h1>A title</h1><p>First paragraph of it.</p></article>"
+    for head in (
+        "<html><head><title>no</title><body>",
+        "<html><head><title>no</title><meta charset=utf-8><link rel=x>",
+        "<html><head><title>no<body class=x>",
+        "<head><noscript><style>p{}</style>no<body>",
+        "<head><head><title>no</title><script>no</script>",
+        "<head><title>no <body> no</title><body>",
+        "<head><template><p>no</p><body>no</template><title>no</title></head><body>",
+        "<head><title>no <p> no</title></head><body>",
+    ):
+        assert blocks.main_text(head + article) == want, head
+    plain = blocks.page_blocks("<head><title>no</title>Some <b>bold</b> words<p>and more")
+    assert [b["text"] for b in plain] == ["Some bold words", "and more"]
+    assert blocks.page_blocks("<head><title>no") == []
+
+
 def test_leave_one_page_out():
     right = total = 0
     for i in range(len(blocks.LABELLED)):
