@@ -14,6 +14,11 @@ A text is rejected outside the band of its language, or, where the language
 is unknown, of the script that most of its letters belong to. The bands are
 fixed parameters, so that a text's verdict does not depend on other texts.
 
+Characters per token of a short text are uncertain: a few words, a number or an
+id move them. So the least value is held against the mean plus ``MARGIN`` times
+its standard error over the text's words, which falls with length. A text with
+many symbols is held against the mean itself.
+
 The base rules count on the same words: symbols, repeated lines, and words in
 three-word windows that occur more than once.
 
@@ -38,6 +43,11 @@ LEAST_WORDS = 50
 #: Percent of words that may lie in repeated windows.
 MOST_REPEATED = 50
 
+#: Standard errors by which the mean of a text must fall short of the least characters per token.
+MARGIN = 3.0
+#: Percent of symbols in the words of a text from which on it has no margin.
+SYMBOL_PERCENT = 2
+
 #: language or script: least and most characters per token, most byte share, least entropy.
 BANDS = {
     "en": (1.8, 9.0, 0.25, 0.35),
@@ -71,7 +81,7 @@ SCRIPTS = {
 
 MEASURES = (
     "n_words long, word_chars long, n_letters long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_pieces long, n_byte_pieces long, token_entropy double, script string"
+    "n_pieces long, n_byte_pieces long, letters_error double, token_entropy double, script string"
 )
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -148,6 +158,14 @@ def _entropy(text: np.ndarray, piece: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 1, bits / np.log2(np.maximum(n, 2)), 1.0)
 
 
+def _letters_error(text: np.ndarray, letters: np.ndarray, pieces: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Standard error of each text's letters per piece, as a ratio of sums over its words."""
+    total = lambda v: np.bincount(text, weights=v, minlength=len(n))
+    ratio = total(letters) / np.maximum(n, 1)
+    rest = letters - ratio[text] * pieces
+    return np.sqrt(total(rest * rest)) / np.maximum(n, 1)
+
+
 def _scripts(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     raw = data.tobytes()
     names = list(SCRIPTS)
@@ -182,6 +200,7 @@ def _measure(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         lead = (data & 0xC0) != 0x80
         letters = np.concatenate([[0], np.cumsum(lead, dtype=np.int64)])
         chars = np.bincount(words.text, weights=letters[words.end] - letters[words.start], minlength=len(n))
+        in_words = np.concatenate([[0], np.cumsum(_LETTER[data], dtype=np.int64)])
         columns = {
             "n_words": words.per_text,
             "word_chars": chars.astype(np.int64),
@@ -191,6 +210,7 @@ def _measure(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             "n_repeat_words": _repeated_words(words),
             "n_pieces": n,
             "n_byte_pieces": np.bincount(owner[pieces.is_byte[piece]], minlength=len(n)),
+            "letters_error": _letters_error(words.text, in_words[words.end] - in_words[words.start], times, n),
             "token_entropy": _entropy(owner, piece, n),
             "script": _scripts(data, offsets),
         }
@@ -222,8 +242,10 @@ def judge(measured: DataFrame, language: Column, bands: dict | None = None) -> D
     ratios = measured.withColumns(
         {"chars_per_token": F.col("n_letters") / pieces, "byte_share": F.col("n_byte_pieces") / pieces}
     )
+    few = 100 * F.col("n_symbols") < SYMBOL_PERCENT * F.col("word_chars")
+    margin = F.when(few, MARGIN * F.col("letters_error")).otherwise(0.0)
     inside = (
-        (F.col("chars_per_token") >= _band(language, bands, 0))
+        (F.col("chars_per_token") + margin >= _band(language, bands, 0))
         & (F.col("chars_per_token") <= _band(language, bands, 1))
         & (F.col("byte_share") <= _band(language, bands, 2))
         & (F.col("token_entropy") >= _band(language, bands, 3))

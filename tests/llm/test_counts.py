@@ -54,6 +54,28 @@ def test_symbol_text_is_rejected(spark):
     assert [r.doc_id for r in quality.keep_good(docs).collect()] == [1]
 
 
+def test_clean_short_texts_stay(spark):
+    """One secret or two phone numbers in a short text do not make it bad; junk of that length still is."""
+    plain = (
+        "La mairie a voté pour la réparation du vieux pont avant l'hiver et le travail va commencer en mai. Il y a des gens qui en "
+        "ont parlé, car ce pont est bien vieux et on y va peu. Une école sera aussi bâtie près de la place, où les enfants iront à pied."
+    )
+    secret = plain + ' token = "' + "a0a87830ca013d94f8f272b52b22" * 4 + '"'
+    phone = plain + "".join(f" +1 (528) 555-34{i}" for i in range(34, 39))
+    junk = " ".join(f"x{i}q!! z{i}!!" for i in range(30))
+    docs = spark.createDataFrame([(1, plain, "fr"), (2, secret, "fr"), (3, phone, "fr"), (4, junk, "fr")], "doc_id long, text string, lang string")
+    judged = {r._row.doc_id: r for r in quality.judge(quality.measure(docs), F.col("_row.lang")).collect()}
+    assert not any(r.base_failed for r in judged.values())
+    assert min(judged[i].chars_per_token for i in (2, 3)) < quality.BANDS["fr"][0]
+    assert [i for i, r in sorted(judged.items()) if r.kept] == [1, 2, 3]
+
+
+def test_short_clean_documents_of_the_table_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    some = docs.where(F.col("doc_id").isin(5854, 8007, 7754, 1110))
+    assert {r.doc_id for r in quality.keep_good(some).collect()} == {5854, 8007, 7754, 1110}
+
+
 def check_mix(found, sizes):
     shares = brute.mix_targets(sizes)
     taken = dict.fromkeys(sizes, 0)
