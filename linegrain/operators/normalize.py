@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linegrain.functions import text as tx
-from linegrain.scale import list_pages, lookup, ordered_index
+from linegrain.scale import list_pages, lookup, ordered_index, whole_lists
 from linegrain.session import cut
 
 MODES = ("identity", "strict", "permissive")
@@ -220,14 +220,22 @@ def manifest_lists(links: DataFrame) -> DataFrame:
     )
 
 
-def manifest(lines: DataFrame, lists: DataFrame) -> DataFrame:
-    """One row per line. List cells hold their first page; the others are in ``lists``."""
-    first = lists.where(F.col("page") == 0)
+#: What stands between the values of a list of a line.
+SEPARATORS = {"provenance_tags": ",", "notes": " | "}
+
+
+def list_cell(lists: DataFrame, field: str, whole: bool = False) -> DataFrame:
+    """(canonical_line_id, ``field``): the first page of each line's list, or all of it."""
+    found = lists.where(F.col("field") == field)
+    found = whole_lists(found, ["canonical_line_id"], SEPARATORS[field]) if whole else found.where(F.col("page") == 0)
+    return found.select("canonical_line_id", F.col("items").alias(field))
+
+
+def manifest(lines: DataFrame, lists: DataFrame, whole: bool = False) -> DataFrame:
+    """One row per line. List cells hold their first page, the others being in ``lists``, or all if ``whole``."""
 
     def cell(field: str) -> DataFrame:
-        return first.where(F.col("field") == field).select(
-            "canonical_line_id", F.col("items").alias(field)
-        )
+        return list_cell(lists, field, whole)
 
     return (
         lines.join(cell("provenance_tags"), "canonical_line_id", "left")
@@ -248,9 +256,8 @@ def manifest(lines: DataFrame, lists: DataFrame) -> DataFrame:
     )
 
 
-def canonical_corpus(lines: DataFrame, lists: DataFrame) -> DataFrame:
-    tags = lists.where((F.col("page") == 0) & (F.col("field") == "provenance_tags"))
-    tags = tags.select("canonical_line_id", F.col("items").alias("provenance_tags"))
+def canonical_corpus(lines: DataFrame, lists: DataFrame, whole: bool = False) -> DataFrame:
+    tags = list_cell(lists, "provenance_tags", whole)
     return lines.join(tags, "canonical_line_id", "left").select(
         "entry_id",
         "canonical_line_id",

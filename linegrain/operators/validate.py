@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linegrain.functions import text as tx
-from linegrain.scale import list_pages, lookup
+from linegrain.scale import list_pages, lookup, whole_lists
 from linegrain.session import cut
 
 REQUIRED = ["source_name", "artifact_id", "line_id", "sign_sequence", "provenance_url"]
@@ -228,15 +228,20 @@ def merge_lists(stored: DataFrame, new: DataFrame, now: str) -> DataFrame:
     )
 
 
-def merge(stored: DataFrame, new: DataFrame, now: str, lists: DataFrame) -> DataFrame:
-    """The full union by (artifact, line, sequence); list cells hold their first page."""
+def merge(stored: DataFrame, new: DataFrame, now: str, lists: DataFrame, whole: bool = False) -> DataFrame:
+    """The full union by (artifact, line, sequence); list cells hold their first page, or all if ``whole``."""
     order = F.struct("is_new", "row_number")
     rolled = _incoming(stored, new, now).groupBy(*MERGE_KEY).agg(
         F.bool_or("is_new").alias("touched"),
         F.min_by("ingestion_timestamp", order).alias("first_stamp"),
         F.count(F.lit(1)).alias("merged_rows"),
     )
-    cells = lists.where(F.col("page") == 0).groupBy(*MERGE_KEY).agg(
+    if whole:
+        ids, group = F.col("field") == "source_id", [*MERGE_KEY, "field"]
+        shown = whole_lists(lists.where(ids), group, "|").unionByName(whole_lists(lists.where(~ids), group, " | "))
+    else:
+        shown = lists.where(F.col("page") == 0)
+    cells = shown.groupBy(*MERGE_KEY).agg(
         *[F.max(F.when(F.col("field") == c, F.col("items"))).alias(c) for c in LISTS]
     )
     return rolled.join(cells, MERGE_KEY, "left").select(

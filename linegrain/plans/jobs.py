@@ -83,8 +83,8 @@ def run_structural(
     lists = write("manifest_lists", found["lists"])
     write("provenance_links", found["links"].select("canonical_line_id", "observation_id"))
     write("observation_view", found["view"])
-    write("corpus_manifest", nz.manifest(lines, lists))
-    write("canonical_corpus", nz.canonical_corpus(lines, lists))
+    write("corpus_manifest", nz.manifest(lines, lists, whole=True))
+    write("canonical_corpus", nz.canonical_corpus(lines, lists, whole=True))
     write("variant_collisions", nz.variant_collisions(log))
     write("normalization_summary", nz.flag_summary(log, flags))
 
@@ -161,7 +161,7 @@ def run_ingest(
     new = sinks.read_table(spark, root, "validation_rows", run_id).drop("run_id")
     lists = cut(va.merge_lists(old, new, now))
     sinks.write_table(lists, root, "external_corpus_lists", run_id)
-    merged = va.merge(old, new, now, lists)
+    merged = va.merge(old, new, now, lists, whole=True)
     sinks.write_table(merged, root, "external_corpus", run_id)
     return {
         "summary": summary,
@@ -183,9 +183,7 @@ def run_deep_validation(spark: SparkSession, root: str, run_id: str) -> dict[str
     """Attribute holdouts, in-sample stress, inventories and tiers over a structural run."""
     lines = sinks.read_table(spark, root, "canonical_lines", run_id)
     tags = sinks.read_table(spark, root, "manifest_lists", run_id)
-    tags = tags.where("field = 'provenance_tags' AND page = 0").select(
-        "canonical_line_id", F.col("items").alias("provenance")
-    )
+    tags = nz.list_cell(tags, "provenance_tags", whole=True).withColumnRenamed("provenance_tags", "provenance")
     base = lines.join(tags, "canonical_line_id", "left").select(
         F.col("canonical_line_id").alias("line_id"), "artifact_id", "signs", "quantity", "provenance"
     )

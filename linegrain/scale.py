@@ -183,3 +183,9 @@ def list_pages(
         F.array_join(F.array_sort(F.collect_list(value)), separator).alias("items"),
         F.count(F.lit(1)).alias("item_count"),
     )
+
+
+def whole_lists(lists: DataFrame, group: Sequence[str], separator: str = ",") -> DataFrame:
+    """The pages of :func:`list_pages` put together again: one ``items`` for each group."""
+    pages = F.array_sort(F.collect_list(F.struct("page", "items")))
+    return lists.groupBy(*group).agg(F.array_join(F.transform(pages, lambda p: p["items"]), separator).alias("items"))

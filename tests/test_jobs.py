@@ -122,6 +122,47 @@ def _imports(spark, rows):
     return spark.createDataFrame(rows, names)
 
 
+def test_hot_line_keeps_every_source_through_two_merges(spark, tmp_path):
+    names = "row_number long, source_id string, artifact_id string, line_id string, sign_sequence string, provenance string, notes string, ingestion_timestamp string, source_name string, provenance_url string"
+    urls = [f"u{i:04d}" for i in range(1_500)]
+    stored = spark.createDataFrame(
+        [(i, f"s{i:04d}", "HT 1", "l0", "KU RO", u, f"n{i:04d}", "T0", f"N {i:04d}", u) for i, u in enumerate(urls)], names
+    )
+    known = va.inventory(stored.select(F.lit("KU")), stored.select(F.lit("RO")))
+    raw = _imports(spark, [(1, "New", "HT 1", "l0", "KU RO", "v0", "")])
+    once = jobs.run_ingest(spark, raw, stored, known, str(tmp_path), "r1")["merged"].drop("merged_rows")
+    row = once.first()
+    assert row["provenance"].split(" | ") == row["provenance_url"].split(" | ") == [*urls, "v0"]
+    assert row["source_id"].split("|") == ["new", *(f"s{i:04d}" for i in range(1_500))]
+    assert row["notes"].count("n") == 1_500
+    again = _imports(spark, [(1, "Last", "HT 1", "l0", "KU RO", "w0", "")])
+    twice = jobs.run_ingest(spark, again, once.withColumn("row_number", F.lit(1)), known, str(tmp_path), "r2")["merged"].first()
+    assert twice["provenance"].split(" | ") == [*urls, "v0", "w0"]
+
+
+def test_hot_line_keeps_every_tag_in_a_run(spark, tmp_path):
+    tags = [f"p{i:04d}" for i in range(1_200)]
+    rows = [
+        ("f", "html_original", a, str(i), i, " ".join(s), q, f"q{i}", "") for i, (_, a, s, q) in enumerate(internal_rows())
+    ]
+    hot = rows[0][2:7]
+    rows += [("f", "html_original", *hot, t, f"n{t}") for t in tags]
+    obs = spark.createDataFrame(
+        [(f"OBS_{i:06d}", *r) for i, r in enumerate(rows)],
+        "observation_id string, source_id string, source_kind string, artifact_id string, "
+        "line_id string, line_no int, sign_sequence string, quantity bigint, provenance string, notes string",
+    )
+    variants = files.variant_map(spark.createDataFrame([("RA", "RA2", "uncertain", "0.35", "")], files.VARIANT_COLUMNS))
+    root, run = str(tmp_path), "2026-01-01_0000"
+    jobs.run_structural(spark, obs, variants, root, run)
+    for name in ("corpus_manifest", "canonical_corpus"):
+        top = sinks.read_table(spark, root, name, run).orderBy(F.length("provenance_tags").desc()).first()
+        assert top["provenance_tags"].split(",") == [*tags, "q0"]
+        assert name == "canonical_corpus" or top["notes"].split(" | ") == [f"n{t}" for t in tags]
+    found = jobs.run_deep_validation(spark, root, run)["metadata"]
+    assert any(all(t in r["provenance_source_url"] for t in tags) for r in found.collect())
+
+
 def test_ingest_merges_and_gate_closes(spark, tmp_path):
     good = [(i, "Src A", "HT 1", f"l{i}", "KU RO", f"u{i}", "") for i in range(30)]
     raw = _imports(spark, [*good, (30, "Src A", "HT 1", "l0", "KU RO", "u0", "again")])
