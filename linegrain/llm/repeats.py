@@ -1,9 +1,9 @@
-"""Removing long repeats by prefix doubling over chosen positions.
+"""Removing long repeats by anchored hash grouping, in place of prefix doubling.
 
 A byte goes if a string of ``SIZE`` bytes that covers it also starts anywhere
 else. Ranking every byte position would shuffle some 20 bytes for each byte of
-text and round, so the doubling runs over positions that the content chooses,
-which loses nothing:
+doubling round, so three fixed lengths of content are hashed, grouped and
+counted at positions that the content chooses, which loses nothing:
 
 * each window of SIZE bytes has one anchor: the core of CORE bytes with the
   least hash among those that start in its first SIZE - CORE + 1 bytes. Equal
