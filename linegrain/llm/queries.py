@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linegrain.llm import blocks, fixity, hnsw, mixing, neardup, packing, quality, repeats, tokenfile, urllists
+from linegrain.llm import blocks, fixity, hnsw, manifest, mixing, neardup, packing, quality, repeats, tokenfile, trie, urllists
 from linegrain.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -153,3 +153,100 @@ def op9_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_checks(tokenfile.write_token_files(_table(spark, sf_dir, "documents")))
+
+
+def _crc32(value: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    return f"""xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+      flatten(list_transform(range(1, length({value}) + 1), lambda i:
+        [ascii(substr({value}, i::INT, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384::BIGINT)))"""
+
+
+def _framed(*values: str) -> str:
+    return " || ".join(f"COALESCE(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values)
+
+
+_PLAIN = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR")
+_LOWERED = f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')"
+
+ORACLES["op12_merkle_climb"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, sha256({_framed(*_PLAIN, "text")}) AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN sha256({_framed(*_PLAIN, _LOWERED)})
+      ELSE sha256({_framed(*_PLAIN, "text")}) END AS shown FROM documents),
+n AS (
+  SELECT doc_id, leaf, shown, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY lang) AS size,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, shown) - 1 AS pos FROM d),
+lv AS (
+  SELECT tree, 0 AS level, pos, size, leaf AS digest FROM n
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, (max(size) + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM lv WHERE size > 1 GROUP BY tree, level, pos // 8),
+sub AS (SELECT tree, digest AS subroot FROM lv WHERE size = 1),
+cw AS (
+  SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM sub) AS size, subroot AS digest FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 8, (max(size) + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM cw WHERE size > 1 GROUP BY level, pos // 8),
+nodes AS (
+  SELECT tree, level, pos, digest, size FROM lv WHERE size > 1
+  UNION ALL SELECT -1, level, pos, digest, size FROM cw WHERE size > 1),
+sib AS (
+  SELECT a.tree AS at, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 GROUP BY ALL),
+climb AS (
+  SELECT doc_id, leaf, tree, tree AS at, 0 AS level, pos, size, shown AS folded, '' AS proof FROM n
+  UNION ALL
+  SELECT doc_id, leaf, tree, CASE WHEN size > 1 THEN c.at ELSE -1 END, CASE WHEN size > 1 THEN c.level + 1 ELSE 0 END,
+    CASE WHEN size > 1 THEN c.pos // 8 ELSE tree END,
+    CASE WHEN size > 1 THEN (size + 7) // 8 ELSE (SELECT count(*) FROM sub) END,
+    CASE WHEN size > 1 THEN sha256(l || folded || r) ELSE folded END, CASE WHEN size > 1 THEN proof || l || r ELSE proof END
+  FROM climb c LEFT JOIN sib s ON s.at = c.at AND s.level = c.level AND s.pos = c.pos WHERE NOT (size = 1 AND c.at = -1))
+SELECT doc_id, leaf, subroot, cw.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+  folded = cw.digest AS verified
+FROM climb JOIN sub USING (tree), cw WHERE climb.at = -1 AND climb.size = 1 AND cw.size = 1"""
+
+
+@_query
+def op12_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_prefix_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32("conv_id::VARCHAR")} % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT h.conv_id, pos, said, words FROM h JOIN t ON t.conv_id = base AND pos < h
+  UNION ALL SELECT conv_id, pos, said, words FROM h JOIN t USING (conv_id) WHERE pos >= h),
+c AS (
+  SELECT conv_id, coalesce(list(said ORDER BY pos) FILTER (said IS NOT NULL), []) AS s,
+    coalesce(list(words ORDER BY pos) FILTER (said IS NOT NULL), []) AS w FROM h LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+m AS (SELECT conv_id, s, w, unnest(range(0, len(s) + 1)) AS depth FROM c),
+n AS (
+  SELECT depth, array_to_string(s[1:depth], ' ') AS k, array_to_string(s[1:greatest(depth - 1, 0)], ' ') AS up, min(conv_id) AS conv_id,
+    count(*) AS n_convs, any_value(CASE WHEN depth = 0 THEN 0 ELSE w[depth] END) AS words, any_value(s[1:depth]) AS path,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = depth), '')) AS ends_sha256
+  FROM m GROUP BY ALL),
+kids AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, (n_children IS NULL)::BIGINT AS leaf, (n_convs - 1) * words AS own
+  FROM n LEFT JOIN kids USING (depth, k)),
+a AS (SELECT unnest(range(0, depth + 1)) AS depth, path, leaf, own FROM v),
+sums AS (
+  SELECT depth, array_to_string(path[1:depth], ' ') AS k, sum(leaf)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens
+  FROM a GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN sums USING (depth, k) LEFT JOIN v p ON p.depth = v.depth - 1 AND p.k = v.up"""
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
