@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linegrain.llm.common import pinned, steps
-from linegrain.llm.tokens import Encoder
+from linegrain.llm.tokens import encoder, with_ends
 
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
@@ -47,13 +47,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], name: str, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(name)
+    library = encoder(name)
     for part in steps(batches, "_text"):
+        ids, counts = with_ends(*library.encode_many(part.column("_text").to_pylist()), end)
+        ids = ids.astype("<u4")
         rows: list[tuple] = []
-        for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("_text").to_pylist(), strict=True):
-            ids = np.append(encoder.encode(text or ""), np.uint32(end)).astype("<u4")
-            for piece, start in enumerate(range(0, len(ids), capacity)):
-                own = ids[start : start + capacity]
+        for doc_id, stop, n in zip(part.column("doc_id").to_pylist(), np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+            for piece, start in enumerate(range(0, n, capacity)):
+                own = ids[stop - n + start : stop - n + min(start + capacity, n)]
                 rows.append((doc_id, piece, start, len(own), zlib.crc32(own.tobytes())))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linegrain.llm.common import pinned, steps
-from linegrain.llm.tokens import Encoder
+from linegrain.llm.tokens import encoder, with_ends
 
 #: Fixed values of the format: bits of an id and ids in a word, by selector.
 SELECTORS = ((1, 60), (2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (7, 8), (8, 7), (10, 6), (12, 5), (15, 4), (20, 3), (30, 2), (60, 1))
@@ -49,46 +49,82 @@ BLOCKS = (
 )
 
 
-def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Simple-8b words and escapes of unsigned ids.
+#: Bits of every id below 2**16, and the least number of every width.
+_WIDTH = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+_LEAST = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_MOST = max(c for _, c in SELECTORS)
 
-    For every place, the densest selector that fits is found for all places at
-    once; then the words' places are followed from the first id to the last.
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    if not len(ids) or int(ids.max()) < len(_WIDTH):
+        return _WIDTH[ids.astype(np.int64)]
+    return np.searchsorted(_LEAST, ids, "right").astype(np.uint8)
+
+
+def _widest(width: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
+    """For each count of the format, the widest of so many ids from each place on."""
+    found: dict[int, np.ndarray] = {}
+    made, size = width, 1
+    for count in sorted(c for _, c in SELECTORS):
+        while size < count:
+            step = min(size, count - size)
+            after = np.zeros_like(made)
+            after[:-step] = made[step:]
+            made, size = np.maximum(made, after), size + step
+        found[count] = made[at]
+    return found
+
+
+def pack(ids: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Simple-8b words and escapes of unsigned ids, and how many of both each document has.
+
+    ``counts`` are the numbers of ids of the documents, one document if not
+    given; each begins with a new word, and its escapes count from 0. For every
+    place, the densest selector that fits is found for all places at once; then
+    the words' places are followed from the first id to the last.
     """
     ids = np.asarray(ids, np.uint64)
+    counts = np.array([len(ids)]) if counts is None else np.asarray(counts, np.int64)
     n = len(ids)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    document = np.repeat(np.arange(len(counts)), counts)
+    stop = np.repeat(np.cumsum(counts), counts)
     place = np.arange(n)
+    # Between documents lie places of no width, so that no window reaches into the next one.
+    at = place + document * _MOST
+    width = np.zeros(n + len(counts) * _MOST + 1, np.uint8)
+    width[at] = _widths(ids)
+    widest = _widest(width, at)
     choice = np.full(n, ESCAPE, np.int8)
     step = np.ones(n, np.int64)
     for selector in range(len(SELECTORS) - 1, -1, -1):
         bits, count = SELECTORS[selector]
-        # the next place whose id is too wide for this selector
-        wide = np.where(ids >> np.uint64(bits) != 0, place, n)
-        reach = np.minimum.accumulate(wide[::-1])[::-1] - place
-        fits = reach >= np.minimum(count, n - place)
+        fits = widest[count] <= bits
         choice[fits] = selector
-        step[fits] = np.minimum(count, n - place)[fits]
-    zeros = np.minimum.accumulate(np.where(ids != 0, place, n)[::-1])[::-1] - place
-    long_run = zeros > 60
-    choice[long_run], step[long_run] = ZEROS, zeros[long_run]
-    jump, at, i = step.tolist(), [], 0
+        step[fits] = count
+    step = np.minimum(step, stop - place)
+    if np.count_nonzero(ids == 0) > _MOST:
+        zeros = np.minimum(np.minimum.accumulate(np.where(ids != 0, place, n)[::-1])[::-1], stop) - place
+        long_run = zeros > _MOST
+        choice[long_run], step[long_run] = ZEROS, zeros[long_run]
+    jump, found, i = step.tolist(), [], 0
     while i < n:
-        at.append(i)
+        found.append(i)
         i += jump[i]
-    at = np.array(at)
+    at = np.array(found, np.int64)
     selector, sizes = choice[at], step[at]
     words = selector.astype(np.uint64)
     for s, (bits, count) in enumerate(SELECTORS):
         which = np.flatnonzero(selector == s)
-        for k in range(count):
+        for k in range(count if len(which) else 0):
             inside = which[sizes[which] > k]
             words[inside] |= ids[at[inside] + k] << np.uint64(4 + bits * k)
     words[selector == ZEROS] |= sizes[selector == ZEROS].astype(np.uint64) << np.uint64(4)
-    out = selector == ESCAPE
-    words[out] |= np.arange(out.sum(), dtype=np.uint64) << np.uint64(4)
-    return words, ids[at[out]]
+    out = np.flatnonzero(selector == ESCAPE)
+    n_words = np.bincount(document[at], minlength=len(counts))
+    n_escapes = np.bincount(document[at[out]], minlength=len(counts))
+    own = np.arange(len(out)) - np.repeat(np.cumsum(n_escapes) - n_escapes, n_escapes)
+    words[out] |= own.astype(np.uint64) << np.uint64(4)
+    return words, ids[at[out]], n_words, n_escapes
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, lasts: np.ndarray, n_ids: np.ndarray) -> np.ndarray:
@@ -118,23 +154,25 @@ def unpack(words: np.ndarray, escapes: np.ndarray, lasts: np.ndarray, n_ids: np.
 
 
 def _encode(batches: Iterator[pa.RecordBatch], name: str, end: int | None, path: str | None) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(name, path=path)
+    library = encoder(name, path)
     for part in steps(batches, "_text"):
-        n, words, escapes = [], [], []
-        for text in part.column("_text").to_pylist():
-            ids = encoder.encode(text or "")
-            if end is not None:
-                ids = np.append(ids, np.uint32(end))
-            packed, odd = pack(ids)
-            n.append(len(ids))
-            words.append(packed.tobytes())
-            escapes.append(odd.tobytes())
+        ids, n = with_ends(*library.encode_many(part.column("_text").to_pylist()), end)
+        words, escapes, n_words, n_escapes = pack(ids, n)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n, pa.int32()), pa.array(words, pa.binary()), pa.array(escapes, pa.binary())],
+            [part.column("doc_id"), pa.array(n, pa.int32()), _slices(words, n_words), _slices(escapes, n_escapes)],
             names=["doc_id", "n_tokens", "words", "escapes"],
         )
 
 
+def _slices(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of 64-bit values as binary cells, without a copy for each."""
+    ends = np.concatenate([[0], np.cumsum(counts) * 8])
+    if ends[-1] >= 1 << 31:
+        return pa.array([values[a // 8 : b // 8].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    offsets = pa.py_buffer(ends.astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, offsets, pa.py_buffer(values.astype("<u8").tobytes())])
+
+
 class _Block:
     def __init__(self, shard: int):
         self.shard, self.block, self.first = shard, 0, 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 
@@ -34,6 +35,7 @@ EDGE = [
 DOCS = "doc_id long, text string, lang string, source string"
 
 
+@lru_cache
 def tokens(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer

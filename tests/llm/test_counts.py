@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from linegrain.llm import mixing, quality, queries, tokenfile
-from linegrain.llm.tokens import Encoder
+from linegrain.llm.tokens import Encoder, encoder
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -128,12 +128,34 @@ def test_mixed_documents(spark, edge):
 def test_simple8b_round_trip(documents):
     block = tokenfile._Block(0)
     for i, ids in enumerate(documents):
-        words, odd = tokenfile.pack(np.array([*ids, 0], np.uint64))
+        words, odd, _, _ = tokenfile.pack(np.array([*ids, 0], np.uint64))
         block.add(i, len(ids) + 1, words.tobytes(), odd.tobytes())
     back = tokenfile.decode_block(block.close())
     assert [x.tolist() for x in back] == [[*ids, 0] for ids in documents]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**16 - 1) | st.just(0) | st.integers(0, 2**64 - 1), max_size=150), min_size=1, max_size=6))
+def test_many_documents_pack_as_each_alone(documents):
+    """Words end where documents end, also behind long runs of zeros and escapes."""
+    documents = [[*ids, *[0] * 70, *ids[:3]] for ids in documents] + [[]]
+    words, odd, n_words, n_odd = tokenfile.pack(np.array(sum(documents, []), np.uint64), np.array([len(x) for x in documents]))
+    each = [tokenfile.pack(np.array(x, np.uint64))[:2] for x in documents]
+    assert [x.tolist() for x in np.split(words, np.cumsum(n_words)[:-1])] == [w.tolist() for w, _ in each]
+    assert [x.tolist() for x in np.split(odd, np.cumsum(n_odd)[:-1])] == [e.tolist() for _, e in each]
+
+
+_SIGN = st.sampled_from(list("aZéÜİıŉſΣς09 .,'|<>-_\n\t\x1c\x7f\x85\u200b漢ß") + ["<|endoftext|>", "'s", " x", "e\u0301"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(_SIGN, max_size=40).map("".join), min_size=1, max_size=5))
+def test_texts_together_are_the_tokenizer(texts):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        ids, n = encoder(name).encode_many([*texts, None])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [brute.tokens(name)(t) for t in [*texts, ""]]
+
+
 def test_chunks_are_the_tokenizer(spark):
     texts = [t or "" for _, t, _, _ in brute.EDGE] + ["a  b\n\n c\t\td 's 'll x  y", " lead", "trail  ", "é ́x İΣΣ"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
