@@ -141,16 +141,16 @@ def _unlimited_recursion(spark: SparkSession):
             spark.conf.set(key, before)
 
 
+#: Digests are carried as bytes, and what a run need not carry is joined again at the end.
 CLIMB = """
-WITH RECURSIVE climb (node, tree, leaves, proof) AS (
-  SELECT node, tree, leaves, '' FROM {base}
+WITH RECURSIVE climb (node, start, folded, proof) AS (
+  SELECT node, node, folded, CAST('' AS BINARY) FROM {base}
   UNION ALL
-  SELECT n.parent, c.tree,
-    transform(c.leaves, x -> named_struct('doc_id', x.doc_id, 'leaf', x.leaf, 'near', x.near,
-      'folded', sha2(concat(n.left, x.folded, n.right), 256))),
-    concat(c.proof, n.left, n.right)
+  SELECT n.parent, c.start,
+    transform(c.folded, x -> unhex(sha2(concat(n.left, lower(hex(x)), n.right), 256))),
+    concat(c.proof, unhex(concat(n.left, n.right)))
   FROM climb c JOIN {nodes} n ON c.node = n.node)
-SELECT tree, leaves, proof FROM climb WHERE node = {top}"""
+SELECT start, folded, proof FROM climb WHERE node = {top}"""
 
 
 def verify(docs: DataFrame, group: str = "lang", fields: Sequence[str] = FIELDS, text: str = "text") -> DataFrame:
@@ -189,23 +189,29 @@ def verify(docs: DataFrame, group: str = "lang", fields: Sequence[str] = FIELDS,
     nodes = pinned(nodes.select(F.coalesce("_node", "node").alias("node"), "parent", "left", "right"), "manifest-nodes")
     top = final["node"] if n_trees > 1 else tops.first()["node"]
 
+    many = F.col("size") > 1
+
+    def beside(i: Column) -> tuple[Column, Column]:
+        return _joined(F.col("members"), F.lit(1), i), _joined(F.col("members"), i + 2, F.size("members") - i - 1)
+
     def started(m: Column, i: Column) -> Column:
-        before = _joined(F.col("members"), F.lit(1), i)
-        after = _joined(F.col("members"), i + 2, F.size("members") - i - 1)
-        many = F.col("size") > 1
-        return F.struct(
-            m["doc_id"].alias("doc_id"), m["digest"].alias("leaf"), F.when(many, F.concat(before, after)).otherwise("").alias("near"),
-            F.when(many, F.sha2(F.concat(before, m["shown"], after), 256)).otherwise(m["shown"]).alias("folded"),
-        )
-
-    level = F.when(F.col("size") > 1, F.lit(1)).otherwise(F.lit(0))
-    base = runs.select(
-        F.concat_ws(":", "tree", level, "run").alias("node"), "tree", F.transform("members", started).alias("leaves")
-    )
+        before, after = beside(i)
+        return F.unhex(F.when(many, F.sha2(F.concat(before, m["shown"], after), 256)).otherwise(m["shown"]))
+
+    begun = runs.withColumn("node", F.concat_ws(":", "tree", F.when(many, F.lit(1)).otherwise(F.lit(0)), "run"))
+    base = begun.select("node", F.transform("members", started).alias("folded"))
     with _unlimited_recursion(spark):
         climbed = pinned(spark.sql(CLIMB, base=base, nodes=nodes, top=top), "manifest-climb")
     subroots = tops.select("tree", F.col("digest").alias("subroot"))
-    each = climbed.join(subroots, "tree").select("subroot", "proof", F.explode("leaves").alias("x"))
+    met = begun.join(climbed, F.col("node") == F.col("start")).join(subroots, "tree")
+
+    def told(m: Column, i: Column) -> Column:
+        near = F.when(many, F.concat(*beside(i))).otherwise("")
+        folded = F.lower(F.hex(F.get("folded", i)))
+        return F.struct(m["doc_id"].alias("doc_id"), m["digest"].alias("leaf"), near.alias("near"), folded.alias("folded"))
+
+    proof = F.lower(F.hex("proof")).alias("proof")
+    each = met.select("subroot", proof, F.explode(F.transform("members", told)).alias("x"))
     root = F.lit(final["digest"])
     return each.select(
         "x.doc_id", "x.leaf", "subroot", root.alias("root"), F.sha2(F.concat("x.near", "proof"), 256).alias("proof_sha256"),

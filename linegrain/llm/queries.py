@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linegrain.llm import blocks, fixity, hnsw, manifest, mixing, neardup, packing, quality, repeats, tokenfile, trie, urllists
+from linegrain.llm import blocks, fixity, hnsw, manifest, mixing, neardup, packing, quality, repeats, reuse, tokenfile, trie, urllists
 from linegrain.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -155,6 +155,11 @@ def op10_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_checks(tokenfile.write_token_files(_table(spark, sf_dir, "documents")))
 
 
+@_query
+def op11_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse.encode_decode(_table(spark, sf_dir, "documents"))
+
+
 def _crc32(value: str) -> str:
     """CRC-32 of an ASCII string, bit by bit."""
     return f"""xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
@@ -217,7 +222,8 @@ def op12_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op13_prefix_trie"] = rf"""
 WITH t AS (
   SELECT conv_id, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
 h AS (
