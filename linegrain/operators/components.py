@@ -2,7 +2,8 @@
 
 Each step replaces the edges by edges to the smallest known neighbour and
 keeps the components; the edges end as stars around the smallest node of each
-component. Minima combine map-side, and the join back spreads hub nodes.
+component. Minima combine map-side. The steps go on until the edges stay as
+they are, however long the longest chain is.
 """
 
 from __future__ import annotations
@@ -10,18 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linegrain.scale import lookup, ordered_index
+from linegrain.scale import ordered_index
 from linegrain.session import cut
 
-MAX_ROUNDS = 60
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
     return (
-        lookup(both, least, ["u"], "inner")
+        both.join(least, ["u"], "inner")
         .where(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .distinct()
@@ -32,7 +30,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = lookup(down, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -46,14 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge; ``edges`` has integer columns u and v."""
     current = cut(edges.select("u", "v").where("u <> v").distinct())
     seen = None
-    for _ in range(MAX_ROUNDS):
+    now = _signature(current)
+    while now != seen:
         current = cut(_small_star(_large_star(current)))
-        now = _signature(current)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        seen, now = now, _signature(current)
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = stars.select(F.col("root").alias("node"), "root").distinct()
     return stars.unionByName(roots)
@@ -70,4 +64,4 @@ def clusters(types: DataFrame, pairs: DataFrame) -> DataFrame:
     named = ranked.select(
         "root", "cluster_size", F.format_string("CL_%03d", "cluster_no").alias("cluster_id")
     )
-    return lookup(member.drop("node"), named, ["root"], "inner").drop("root")
+    return member.drop("node").join(named, ["root"], "inner").drop("root")

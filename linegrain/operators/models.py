@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linegrain.scale import lookup
 from linegrain.session import cut
 
 ALPHA = 0.35
@@ -115,7 +114,7 @@ def transfer(
     )
     wanted = test.where(F.col("kind").isin(needed(models)))
     test_ctx = wanted.groupBy(*by, "kind", "ctx").agg(F.sum("n").alias("n"))
-    test_ctx = lookup(test_ctx, contexts, ["kind", "ctx"]).withColumn("size", size.scalar())
+    test_ctx = test_ctx.join(contexts, ["kind", "ctx"], "left").withColumn("size", size.scalar())
     known = F.coalesce("ctx_total", F.lit(0))
     unseen = (F.col("kind") == "pos") & (known == 0)
     width = _width(F.col("size.vocab"), F.col("size.lengths"))
@@ -123,11 +122,11 @@ def transfer(
     base = F.when(unseen, F.col("size.tokens")).otherwise(known)
     context_part = test_ctx.select(*by, "kind", (-F.col("n") * F.ln(base + width)).alias("part"))
     lost = test_ctx.where(unseen).select(*by, "kind", "ctx").withColumn("lost", F.lit(True))
-    seen_cells = lookup(wanted, total, CELL)
+    seen_cells = wanted.join(total, CELL, "left")
     if not lost.isEmpty():
         uni = total.where("kind = 'uni'").select("tok", F.col("total").alias("uni_total"))
-        flagged = lookup(seen_cells, lost, [*by, "kind", "ctx"])
-        seen_cells = lookup(flagged, uni, ["tok"]).withColumn(
+        flagged = seen_cells.join(lost, [*by, "kind", "ctx"], "left")
+        seen_cells = flagged.join(uni, ["tok"], "left").withColumn(
             "total", F.when(F.col("lost"), F.col("uni_total")).otherwise(F.col("total"))
         )
     count = F.coalesce("total", F.lit(0))
@@ -138,7 +137,7 @@ def transfer(
         return ll.withColumn("_s", sizes.select(F.struct("lines", "tokens")).scalar()).select(
             "model", "ll", "_s.lines", "_s.tokens"
         )
-    return lookup(ll, sizes, by)
+    return ll.join(sizes, by, "left")
 
 
 def leave_out(
@@ -156,7 +155,7 @@ def leave_out(
     total = own.groupBy(*split_cell).agg(F.sum("n").alias("total"))
     whole = _sizes(total.withColumnRenamed("total", "n"), ["split"])
     contexts = total.groupBy("split", "kind", "ctx").agg(F.sum("total").alias("ctx_total"))
-    joined = lookup(own, total, split_cell)
+    joined = own.join(total, split_cell, "left")
 
     # What disappears from the vocabulary (and the lengths) with the group.
     only_here = F.col("n") == F.col("total")
@@ -174,7 +173,7 @@ def leave_out(
     )
     renamed = whole.select("split", *[F.col(c).alias(f"all_{c}") for c in ("vocab", "lengths", "tokens", "lines")])
     group = cut(
-        lookup(group, renamed, ["split"])
+        group.join(renamed, ["split"], "left")
         .where(F.col("lines") < F.col("all_lines"))
         .withColumns(
             {
@@ -187,8 +186,8 @@ def leave_out(
     )
 
     ctx = own.groupBy(*by, "kind", "ctx").agg(F.sum("n").alias("n"))
-    ctx = lookup(ctx, contexts, ["split", "kind", "ctx"])
-    ctx = lookup(ctx, group.select(*by, "vocab", "lengths", "rest_tokens"), by, "inner")
+    ctx = ctx.join(contexts, ["split", "kind", "ctx"], "left")
+    ctx = ctx.join(group.select(*by, "vocab", "lengths", "rest_tokens"), by, "inner")
     rest = F.col("ctx_total") - F.col("n")
     unseen = (F.col("kind") == "pos") & (rest == 0)
     width = _width(F.col("vocab"), F.col("lengths"))
@@ -200,7 +199,7 @@ def leave_out(
 
     lost = ctx.where(unseen).select(*by, "kind", "ctx")
     if "position" in models and not lost.isEmpty():
-        orphans = lookup(own, lost.withColumn("_lost", F.lit(True)), [*by, "kind", "ctx"], "inner")
+        orphans = own.join(lost.withColumn("_lost", F.lit(True)), [*by, "kind", "ctx"], "inner")
         orphans = orphans.groupBy(*by, "tok").agg(F.sum("n").alias("m"))
         uni_rest = joined.where(uni).select(*by, "tok", (F.col("total") - F.col("n")).alias("rest"))
         # One row per group and token on both sides.
@@ -209,7 +208,7 @@ def leave_out(
         )
         parts = parts.unionByName(fallback)
     ll = _by_model(parts, by, models)
-    return lookup(ll, group.select(*by, "lines", "tokens"), by, "inner")
+    return ll.join(group.select(*by, "lines", "tokens"), by, "inner")
 
 
 def cross_groups(
@@ -237,7 +236,7 @@ def cross_groups(
     start = per_kind.select(
         by, "kind", (F.col("kind_total") * (F.ln(F.lit(ALPHA)) - F.ln(width))).alias("part")
     )
-    joined = lookup(own, total, CELL)
+    joined = own.join(total, CELL, "left")
     log_alpha = F.ln(F.lit(ALPHA))
     cell_part = joined.select(
         by,
@@ -247,7 +246,7 @@ def cross_groups(
         ).alias("part"),
     )
     ctx = own.groupBy(by, "kind", "ctx").agg(F.sum("n").alias("n"))
-    ctx = lookup(lookup(ctx, contexts, ["kind", "ctx"]), group.select(by, "vocab", "lengths", F.col("tokens").alias("own_tokens")), [by], "inner")
+    ctx = ctx.join(contexts, ["kind", "ctx"], "left").join(group.select(by, "vocab", "lengths", F.col("tokens").alias("own_tokens")), [by], "inner")
     context_part = ctx.select(
         by,
         "kind",
@@ -265,7 +264,7 @@ def cross_groups(
         (F.col("whole.lines") - F.col("lines")).alias("lines"),
         (F.col("whole.tokens") - F.col("tokens")).alias("tokens"),
     )
-    return lookup(ll, rest, [by], "inner")
+    return ll.join(rest, [by], "inner")
 
 
 def _position_fallback(
@@ -273,8 +272,11 @@ def _position_fallback(
 ) -> DataFrame:
     """Foreign tokens at positions that a group never saw are scored by its unigram counts.
 
-    For each token, what is left over is its total less its occurrences at
-    positions the group did see.
+    A line of some length has a token at every position of that length, so a
+    group has seen all positions of its lengths and none of others. For each of
+    its tokens, what is left over is the total less the occurrences in lines of
+    its lengths, or the occurrences in lines of the others, whichever lengths
+    are fewer; a group's tokens meet the counts of (length, token) only.
     """
     seen = ctx.where("kind = 'pos'")
     lost_total = seen.groupBy(by).agg(F.sum("ctx_total").alias("seen_total"))
@@ -288,18 +290,30 @@ def _position_fallback(
     base = left.select(
         by, kind, (missing * (F.ln(width) - F.ln(F.col("tokens") + width))).alias("part")
     )
-    uni = own.where("kind = 'uni'").select(by, "tok", F.col("n").alias("own_n"))
+    mine, met = _tokens_by_length(own, total, by)
+    # Inside its lengths a token is counted off its total, outside it is counted itself.
+    sign = F.when(F.col("_inside"), -1).otherwise(1)
+    counted = met.select(by, kind, (sign * F.col("there") * F.col("gain")).alias("part"))
     all_uni = total.where("kind = 'uni'").select("tok", F.col("total").alias("uni_total"))
-    mine = lookup(uni, all_uni, ["tok"])
-    # Tokens of the group at positions of the group, in the whole corpus.
-    at = total.where("kind = 'pos'").select("ctx", "tok", "total")
-    inside = seen.select(by, "ctx").join(at, "ctx").groupBy(by, "tok").agg(F.sum("total").alias("inside"))
-    gained = mine.join(inside, [by, "tok"], "left").select(
-        by,
-        kind,
-        (
-            (F.col("uni_total") - F.coalesce("inside", F.lit(0)))
-            * (F.ln(F.col("own_n") + ALPHA) - F.ln(F.lit(ALPHA)))
-        ).alias("part"),
+    totals = mine.where("_inside").join(all_uni, "tok").select(by, kind, (F.col("uni_total") * F.col("gain")).alias("part"))
+    return base.unionByName(counted).unionByName(totals)
+
+
+def _tokens_by_length(own: DataFrame, total: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Each group's tokens, and those met with the corpus counts of the fewer of (its lengths, other lengths)."""
+    all_lengths = total.where("kind = 'len'").agg(F.array_sort(F.collect_set("tok"))).scalar()
+    lengths = own.where("kind = 'len'").groupBy(by).agg(F.collect_set("tok").alias("_own")).withColumn("_all", all_lengths)
+    fewer = F.size("_own") * 2 <= F.size("_all")
+    chosen = lengths.select(
+        by, fewer.alias("_inside"), F.when(fewer, F.col("_own")).otherwise(F.array_except("_all", "_own")).alias("_lengths")
+    )
+    mine = own.where("kind = 'uni'").select(by, "tok", F.col("n").alias("own_n"))
+    gain = F.ln(F.col("own_n") + ALPHA) - F.ln(F.lit(ALPHA))
+    mine = mine.select(by, "tok", gain.alias("gain")).join(chosen, by)
+    by_length = (
+        total.where("kind = 'pos'")
+        .groupBy(F.substring_index("ctx", ":", 1).alias("length"), "tok")
+        .agg(F.sum("total").alias("there"))
     )
-    return base.unionByName(gained)
+    met = mine.select(by, "tok", "gain", "_inside", F.explode("_lengths").alias("length")).join(by_length, ["length", "tok"])
+    return mine, met

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linegrain.functions import text as tx
-from linegrain.scale import list_pages, lookup, ordered_index, whole_lists
+from linegrain.scale import list_pages, ordered_index, whole_lists
 from linegrain.session import cut
 
 MODES = ("identity", "strict", "permissive")
@@ -61,7 +61,7 @@ def mapping_log(
         "line_id",
         F.posexplode(tx.tokens(F.col("sign_sequence"))).alias("token_index", "original_sign"),
     ).withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
-    joined = lookup(tokens, cut(resolve(variants, modes)), ["mode", "original_sign"])
+    joined = tokens.join(cut(resolve(variants, modes)), ["mode", "original_sign"], "left")
     status = F.coalesce("to_status", F.lit("identity"))
     confidence = F.coalesce("to_confidence", F.lit(1.0))
     log = joined.select(
@@ -205,7 +205,7 @@ def provenance_links(view: DataFrame, lines: DataFrame) -> DataFrame:
     """(line, observation) pairs, with the observation's provenance and notes."""
     ids = lines.select(*LINE_KEY, "canonical_line_id")
     pairs = view.select(*LINE_KEY, "observation_id", "provenance", "notes")
-    return lookup(pairs, ids, LINE_KEY, "inner").select(
+    return pairs.join(ids, LINE_KEY, "inner").select(
         "canonical_line_id", "observation_id", "provenance", "notes"
     )
 

@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from linegrain.operators import cv
 from linegrain.operators import models as md
-from linegrain.scale import lookup, ordered_cumsum, ordered_index
+from linegrain.scale import carry_forward, ordered_cumsum, ordered_index
 from linegrain.session import cut
 
 SEED = 101
 CORRUPT = 0.20
 DROP = 0.20
-BUCKET = 1024
 HOLDOUT = cv.HOLDOUT
 
 
@@ -54,11 +53,13 @@ def _exploded(lines: DataFrame) -> DataFrame:
     return lines.select("line_id", F.posexplode("signs").alias("pos", "token"))
 
 
-def _reassembled(lines: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Lines with the tokens of ``tokens (line_id, pos, token)`` in place of their own."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    signs = tokens.groupBy("line_id").agg(F.transform(ordered, lambda t: t["token"]).alias("signs"))
-    return lines.drop("signs").join(signs, "line_id").select(*lines.columns)
+def _replaced(lines: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Lines with ``tokens (line_id, pos, token)`` in their places; other places stay."""
+    at = F.map_from_entries(F.collect_list(F.struct("pos", "token")))
+    moved = tokens.groupBy("line_id").agg(at.alias("_at"))
+    signs = F.transform("signs", lambda t, i: F.coalesce(F.col("_at")[i], t))
+    changed = lines.join(moved, "line_id", "left")
+    return changed.withColumn("signs", F.when(F.col("_at").isNull(), F.col("signs")).otherwise(signs)).select(*lines.columns)
 
 
 def global_relabel(lines: DataFrame, seed: int = SEED) -> DataFrame:
@@ -71,10 +72,10 @@ def global_relabel(lines: DataFrame, seed: int = SEED) -> DataFrame:
     key = F.md5(F.concat_ws("|", "token", F.lit(str(seed))))
     mixed = ordered_index(vocab.withColumn("_key", key), ["_key", "token"], "place")
     images = plain.join(mixed.select("place", F.col("token").alias("image")), "place").drop("place")
-    moved = lookup(_exploded(lines), images, ["token"]).select(
+    moved = _exploded(lines).join(images, ["token"], "left").select(
         "line_id", "pos", F.col("image").alias("token")
     )
-    return _reassembled(lines, moved)
+    return _replaced(lines, moved)
 
 
 def shuffle_within_line(lines: DataFrame, seed: int = SEED) -> DataFrame:
@@ -102,44 +103,37 @@ def relabel_per_line(lines: DataFrame, seed: int = SEED) -> DataFrame:
     draw = hash_number(F.col("line_id"), F.lit(str(seed)))
     factor = F.get(F.array(*[F.lit(p).cast("long") for p in usable]), draw % len(usable))
     shift = F.shiftright(draw, 8) % max(1, size)
-    placed = lookup(_exploded(lines), vocab, ["token"]).select(
+    placed = _exploded(lines).join(vocab, ["token"], "left").select(
         "line_id",
         "pos",
         ((factor * (F.col("place") - 1) + shift) % max(1, size) + 1).alias("place"),
     )
-    return _reassembled(lines, lookup(placed, vocab, ["place"]).select("line_id", "pos", "token"))
+    return _replaced(lines, placed.join(vocab, ["place"], "left").select("line_id", "pos", "token"))
 
 
 def redraw_tokens(lines: DataFrame, share: float, seed: int = SEED) -> DataFrame:
     """Replace each token, with probability ``share``, by a draw weighted by frequency.
 
     A weighted draw is a number below the corpus size; each token owns an
-    interval as long as its count. Intervals are cut at bucket borders, so that
-    finding the owner is an equi-join.
+    interval as long as its count. Draws and the starts of intervals are sorted
+    together, and the last start at or before a draw names its owner, so a draw
+    meets one row whatever the counts are.
     """
-    vocab = vocabulary(lines)
-    owners = cut(ordered_cumsum(vocab, ["token"], "n", "start"))
-    total = owners.agg(F.sum("n").alias("total")).first()["total"] or 0
-    buckets = F.sequence(
-        F.floor(F.col("start") / BUCKET), F.floor((F.col("start") + F.col("n") - 1) / BUCKET)
-    )
-    cut_up = owners.select(
-        F.col("token").alias("image"),
-        "start",
-        (F.col("start") + F.col("n")).alias("stop"),
-        F.explode(buckets).alias("bucket"),
-    )
+    owners = cut(ordered_cumsum(vocabulary(lines), ["token"], "n", "start"))
     where = [F.col("line_id"), F.col("pos").cast("string")]
-    each = _exploded(lines).withColumns(
-        {
-            "hit": hash_number(*where, F.lit(f"{seed}hit")) % 1_000_000 < int(share * 1_000_000),
-            "draw": hash_number(*where, F.lit(f"{seed}draw")) % max(1, total),
-        }
-    ).withColumn("bucket", F.floor(F.col("draw") / BUCKET))
-    drawn = lookup(each, cut_up, ["bucket"], "inner")
-    drawn = drawn.where((F.col("draw") >= F.col("start")) & (F.col("draw") < F.col("stop")))
-    token = F.when(F.col("hit"), F.col("image")).otherwise(F.col("token"))
-    return _reassembled(lines, drawn.select("line_id", "pos", token.alias("token")))
+    hit = hash_number(*where, F.lit(f"{seed}hit")) % 1_000_000 < int(share * 1_000_000)
+    total = F.coalesce(owners.agg(F.sum("n")).scalar(), F.lit(1))
+    draws = _exploded(lines).where(hit).select(
+        (hash_number(*where, F.lit(f"{seed}draw")) % total).alias("at"), "line_id", "pos", F.lit(None).cast("string").alias("owner")
+    )
+    starts = owners.select(
+        F.col("start").alias("at"), F.lit(None).cast("string").alias("line_id"), F.lit(None).cast("int").alias("pos"),
+        F.col("token").alias("owner"),
+    )
+    # NULL places come first: a start is before the draws of its number.
+    drawn = carry_forward(draws.unionByName(starts), ["at", "line_id", "pos"], "owner", "image")
+    drawn = drawn.where(F.col("line_id").isNotNull()).select("line_id", "pos", F.col("image").alias("token"))
+    return _replaced(lines, drawn)
 
 
 def is_external(kinds: str = "source_kind") -> Column:

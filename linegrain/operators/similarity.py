@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linegrain.scale import lookup
 from linegrain.session import cut
 
 THRESHOLD = 0.50
@@ -102,7 +101,7 @@ def _with_elements(types: DataFrame) -> DataFrame:
     )
     each = types.select("seq_no", F.explode(nth).alias("element"))
     counts = each.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
-    ranked = lookup(each, counts, ["element"]).groupBy("seq_no").agg(
+    ranked = each.join(counts, ["element"], "left").groupBy("seq_no").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "element"))), lambda e: e["element"])
         .alias("elements")
     )
@@ -153,7 +152,7 @@ def _spread(keyed: DataFrame, pairs_per_task: int) -> DataFrame:
     )
     if hot.isEmpty():
         return keyed.withColumn("ways", F.lit(1))
-    return lookup(keyed, hot, group).withColumn("ways", F.coalesce("ways", F.lit(1)))
+    return keyed.join(hot, group, "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
 
 
 def _same_from(a: Column, b: Column) -> Column:

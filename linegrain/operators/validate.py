@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linegrain.functions import text as tx
-from linegrain.scale import list_pages, lookup, whole_lists
+from linegrain.scale import list_pages, whole_lists
 from linegrain.session import cut
 
 REQUIRED = ["source_name", "artifact_id", "line_id", "sign_sequence", "provenance_url"]
@@ -64,7 +64,7 @@ def mark_repeats(prepared: DataFrame) -> DataFrame:
     """
     accepted = prepared.where(F.col("hard").isNull())
     first = accepted.groupBy(*DUPLICATE_KEY).agg(F.min("row_number").alias("first_row"))
-    return lookup(accepted, first, DUPLICATE_KEY).withColumn(
+    return accepted.join(first, DUPLICATE_KEY, "left").withColumn(
         "is_repeat", F.col("row_number") > F.col("first_row")
     )
 
@@ -82,7 +82,7 @@ def unknown_tokens(prepared: DataFrame, known: DataFrame) -> DataFrame:
     """Tokens of accepted rows that the inventory lacks, one row per row and token."""
     accepted = prepared.where(F.col("hard").isNull())
     pairs = accepted.select("row_number", F.explode(F.array_distinct("valid")).alias("token"))
-    hits = lookup(pairs, cut(known).withColumn("known", F.lit(True)), ["token"])
+    hits = pairs.join(cut(known).withColumn("known", F.lit(True)), ["token"], "left")
     return hits.where(F.col("known").isNull()).drop("known")
 
 

@@ -7,7 +7,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linegrain.scale import lookup
 
 # Litres in one unit.
 LITRES = {
@@ -20,7 +19,7 @@ STAPLES = ["grain", "oil", "wine"]
 def substitute(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Look every sequence up in ``dictionary (sequence, commodity, unit, confidence)``."""
     keyed = lines.withColumn("sequence", F.array_join("signs", " "))
-    return lookup(keyed, dictionary, ["sequence"])
+    return keyed.join(dictionary, ["sequence"], "left")
 
 
 def volumes(substituted: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ def pert_drop_fraction(spark, sf):
       mode_in AS (SELECT mode AS split, artifact_id AS grp, signs FROM lines),
       {q.cells("mode_own", "mode_in", ["split", "grp"])},
       {q.leave_out("modes", "mode_own", ["grp"])}
-    SELECT {_POOLED} FROM ({pooled_sql("modes")}) WHERE model IN ('unigram', 'first_bigram')""",
+    SELECT {_POOLED} FROM ({pooled_sql("modes")}) WHERE model IN ('unigram', 'first_bigram', 'position')""",
 )
 def pert_normalization_mode(spark, sf):
     modes = ("identity", "permissive")
@@ -178,9 +178,8 @@ def pert_normalization_mode(spark, sf):
     view = nz.observation_view(obs, corpora.variants(spark, sf), modes)
     lines = cut(nz.canonical_lines(view, ["mode"]))
     grouped = lines.select(F.col("mode").alias("split"), F.col("artifact_id").alias("grp"), "signs")
-    models = ("unigram", "first_bigram")
-    made = pt.md.cells(grouped, ["split", "grp"], pt.md.needed(models))
-    return cv.rounded(cv.pooled(pt.md.leave_out(made, ["grp"], models)))
+    made = pt.md.cells(grouped, ["split", "grp"], pt.md.needed(cv.RANKED))
+    return cv.rounded(cv.pooled(pt.md.leave_out(made, ["grp"], cv.RANKED)))
 
 
 def coded_observations(spark, sf):

@@ -16,21 +16,12 @@ from linegrain.session import cut
 
 # Rows of one group that a single task may sort or hold.
 GROUP_LIMIT = 200_000
-# Rows a relation may have to be broadcast.
-BROADCAST_LIMIT = 200_000
-# Rows of one key that a single join task may receive.
-JOIN_LIMIT = 2_000_000
 # Values in one list cell.
 PAGE = 1_000
 
 _PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; stops reading just past the limit."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def ordered_index(
     df: DataFrame, order: Sequence[Column | str], name: str = "idx"
 ) -> DataFrame:
@@ -126,46 +117,36 @@ def group_rank(
 def _join_groups(df: DataFrame, per_group: DataFrame, group: Sequence[str]) -> DataFrame:
     """Left join on group columns that may be NULL."""
     renamed = per_group.withColumnsRenamed({g: f"_g_{g}" for g in group})
-    if is_small(renamed):
-        renamed = F.broadcast(renamed)
     same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
     return df.join(renamed, same, "left").drop(*[f"_g_{g}" for g in group])
 
 
-def lookup(
-    big: DataFrame,
-    small: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    limit: int = BROADCAST_LIMIT,
-    hot: int = JOIN_LIMIT,
-) -> DataFrame:
-    """Join ``big`` to ``small``, which has at most one row per key.
+def carry_forward(df: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
+    """The last non-NULL ``value`` at or before each row of a total order.
 
-    ``small`` is broadcast when counting shows that it fits. Otherwise both
-    sides are shuffled, and keys with more than ``hot`` rows in ``big`` are
-    spread over enough salts that no task receives more than that. ``big``
-    should carry a column that tells its rows apart.
+    An as-of join is this over the union of both sides. Rows are sorted into
+    ranges; each range looks back inside itself, and its first rows take what
+    the ranges before it ended with, one row per range.
     """
-    if is_small(small, limit):
-        return big.join(F.broadcast(small), list(keys), how)
-    heavy = (
-        big.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot)
-        .select(*keys, F.ceil(F.col("_n") / hot).cast("int").alias("_ways"))
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = (
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    pinned = cut(ranged).withColumn("_part", F.shiftright("_row", _PARTITION_SHIFT))
+    ends = pinned.groupBy("_part").agg(
+        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col("_row"))).alias("_end")
+    )
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select("_part", F.last("_end", True).over(before).alias("_carried"))
+    inside = W.partitionBy("_part").orderBy("_row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        pinned.withColumn("_last", F.last(value, True).over(inside))
+        .join(F.broadcast(carried), "_part")
+        .withColumn(name, F.coalesce("_last", "_carried"))
+        .drop("_part", "_row", "_last", "_carried")
     )
-    if heavy.isEmpty():
-        return big.join(small, list(keys), how)
-    if not is_small(heavy, limit):
-        raise ValueError("more hot keys than can be broadcast; raise the `hot` argument")
-    heavy = F.broadcast(heavy)
-    # A hash of the whole row, so that a task that is run again salts the same way.
-    spread = F.pmod(F.xxhash64(*big.columns), F.coalesce("_ways", F.lit(1))).cast("int")
-    left = big.join(heavy, list(keys), "left").withColumn("_salt", spread).drop("_ways")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1))
-    right = small.join(heavy, list(keys), "left").withColumn("_salt", copies).drop("_ways")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def list_pages(

@@ -45,15 +45,13 @@ def test_group_rank_is_the_same_for_any_limit(skewed, limit):
     assert len(got) == 600
 
 
-@pytest.mark.parametrize(("limit", "hot"), [(1000, 1000), (5, 1000), (30, 1), (25, 50)])
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_lookup_routes_agree(spark, skewed, limit, hot, how):
-    small = spark.createDataFrame(
-        [("hot", 1), *[(f"k{i}", i) for i in range(0, 20, 2)]], "k string, w int"
-    )
-    plain = skewed.join(small, "k", how).select("k", "i", "v", "w")
-    got = scale.lookup(skewed, small, ["k"], how, limit=limit, hot=hot).select("k", "i", "v", "w")
-    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+def test_carry_forward_is_an_as_of_join(spark):
+    starts = [(i * i, f"s{i}") for i in range(1, 40)]
+    rows = [(at, 0, owner) for at, owner in starts] + [(at, 1 + i, None) for i, at in enumerate(range(0, 1600, 7))]
+    df = spark.createDataFrame(rows, "at long, i int, owner string").repartition(7)
+    got = scale.carry_forward(df, ["at", "i"], "owner", "last").where("i > 0").collect()
+    want = {i: max(((a, o) for a, o in starts if a <= at), default=(0, None))[1] for at, i, _ in rows if i}
+    assert {r["i"]: r["last"] for r in got} == want
 
 
 def test_list_pages_are_whole(skewed):
