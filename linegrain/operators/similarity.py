@@ -13,7 +13,16 @@ So o >= t(n, m) = min(n, ceil(m/2)) and n >= 0.375 m. Tokens are numbered by
 occurrence and ordered by rarity; two sequences that share t elements share
 the first k <= t of their common elements within their first L - t + k
 elements. Those k elements, with the length classes of the two, are the join
-key. A pair meets on exactly one key, so no distinct is needed.
+key.
+
+The index that is joined holds numbers only: the key's hash, the sequence, its
+length and the place of the key's last element. Where the first k common
+elements end at places p and q, the overlap is at most k + min(n_a - p, n_b - q)
+elements, so meetings behind which too few elements are left are dropped. The
+sequences themselves are joined to the pairs that are left, once a pair. Keys
+with many pairs are spread over a grid: either side is dealt into rows or
+columns and copied along the other. Whether the LCS fits a word is decided by
+pair.
 """
 
 from __future__ import annotations
@@ -23,14 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linegrain.scale import ordered_index
 from linegrain.session import cut
 
 THRESHOLD = 0.50
 EXACT_CLASSES = 16  # lengths up to this are classes of their own
 CLASS_RATIO = 1.25  # longer lengths fall in classes that grow by this
 NATIVE_LCS = 60  # shorter length up to which a 64-bit word holds the LCS state
-PAIRS_PER_TASK = 20_000_000
-SEP = "\u0001"
+PAIRS_PER_TASK = 4_000_000
 
 
 def _class_of(length: Column) -> Column:
@@ -56,60 +65,41 @@ def _key_size(short_class: Column, long_class: Column) -> Column:
 
 
 def _subsets(items: Column, size: Column) -> Column:
-    """All subsets of one, two or three items, as joined text, in the order of the items."""
-    n = F.size(items)
+    """All subsets of one, two or three items in their order: (hash, place of the last item)."""
 
-    def after(i: Column) -> Column:
-        return F.slice(items, i + 1, F.greatest(n - i, F.lit(0)))
+    def found(last: Column, *ids: Column) -> Column:
+        return F.struct(F.xxhash64(*ids).alias("key"), last.alias("pos"))
 
-    def indexed(xs: Column) -> Column:
-        return F.transform(xs, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
+    def later(place: Column) -> Column:
+        rest = F.slice(items, place + 1, F.greatest(F.size(items) - place, F.lit(0)))
+        return F.transform(rest, lambda x, i: F.struct(x.alias("x"), (place + i + 1).alias("i")))
 
+    ones = F.transform(items, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
     twos = F.flatten(
-        F.transform(
-            indexed(items),
-            lambda a: F.transform(after(a["i"]), lambda y: F.concat_ws(SEP, a["x"], y)),
-        )
-    )
-    pairs = F.flatten(
-        F.transform(
-            indexed(items),
-            lambda a: F.transform(
-                after(a["i"]),
-                lambda y, j: F.struct(
-                    F.concat_ws(SEP, a["x"], y).alias("x"), (a["i"] + j + 1).alias("i")
-                ),
-            ),
-        )
+        F.transform(ones, lambda a: F.transform(later(a["i"]), lambda b: F.struct(a["x"].alias("x"), b["x"].alias("y"), b["i"].alias("i"))))
     )
     threes = F.flatten(
-        F.transform(
-            pairs, lambda p: F.transform(after(p["i"]), lambda y: F.concat_ws(SEP, p["x"], y))
-        )
+        F.transform(twos, lambda a: F.transform(later(a["i"]), lambda b: found(b["i"], a["x"], a["y"], b["x"])))
+    )
+    return (
+        F.when(size == 1, F.transform(ones, lambda a: found(a["i"], a["x"])))
+        .when(size == 2, F.transform(twos, lambda a: found(a["i"], a["x"], a["y"])))
+        .otherwise(threes)
     )
-    return F.when(size == 1, items).when(size == 2, twos).otherwise(threes)
 
 
 def _with_elements(types: DataFrame) -> DataFrame:
-    """``elements``: (token, occurrence) of each sequence, rarest first."""
-    signs = F.col("signs")
-    nth = F.transform(
-        signs,
-        lambda t, i: F.concat_ws(
-            "\u0002", t, F.size(F.filter(F.slice(signs, 1, i + 1), lambda u: u == t)).cast("string")
-        ),
-    )
-    each = types.select("seq_no", F.explode(nth).alias("element"))
-    counts = each.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
-    ranked = each.join(counts, ["element"], "left").groupBy("seq_no").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "element"))), lambda e: e["element"])
-        .alias("elements")
-    )
-    return types.select("seq_no", "signs").join(ranked, "seq_no").withColumn("len", F.size("signs"))
+    """(seq_no, len, elements): the numbers of each sequence's (token, occurrence) pairs, rarest first."""
+    tokens = types.select("seq_no", F.explode("signs").alias("token")).groupBy("seq_no", "token").agg(F.count(F.lit(1)).alias("times"))
+    each = tokens.select("seq_no", "token", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
+    counts = each.groupBy("token", "nth").agg(F.count(F.lit(1)).alias("n"))
+    numbers = ordered_index(counts, ["n", "token", "nth"], "element").drop("n")
+    ranked = each.join(numbers, ["token", "nth"]).groupBy("seq_no").agg(F.array_sort(F.collect_list("element")).alias("elements"))
+    return ranked.withColumn("len", F.size("elements"))
 
 
 def _keyed(seqs: DataFrame, classes: list[int]) -> DataFrame:
-    """One row per sequence, class of the other sequence, and key."""
+    """One row of numbers per sequence, class of the other sequence, and key."""
     own, other, length = F.col("own"), F.col("other"), F.col("len")
     nearest = _class_of(F.ceil(length * 0.375))
     farthest = _class_of(F.floor(length / 0.375))
@@ -128,31 +118,53 @@ def _keyed(seqs: DataFrame, classes: list[int]) -> DataFrame:
     kept = F.slice("elements", F.lit(1), length - must_share + F.col("k"))
     return rows.select(
         "seq_no",
-        "signs",
-        "elements",
         "len",
         "short_class",
         "long_class",
         "k",
         (own <= other).alias("as_short"),
         (own >= other).alias("as_long"),
-        F.explode(_subsets(kept, F.col("k"))).alias("key"),
+        F.inline(_subsets(kept, F.col("k"))),
     )
 
 
+GROUP = ["short_class", "long_class", "key"]
+
+
 def _spread(keyed: DataFrame, pairs_per_task: int) -> DataFrame:
-    """Add ``ways``: over how many tasks the pairs of a key are spread."""
-    group = ["short_class", "long_class", "key"]
-    sizes = keyed.groupBy(*group).agg(
+    """Add ``ways_s`` and ``ways_l``: the rows and columns over which a key's pairs are spread."""
+    sizes = keyed.groupBy(*GROUP).agg(
         F.count_if("as_short").alias("s"), F.count_if("as_long").alias("l")
     )
-    pairs = F.col("s").cast("double") * F.col("l")
-    hot = sizes.where(pairs > pairs_per_task).select(
-        *group, F.least(F.col("s"), F.ceil(pairs / pairs_per_task)).cast("int").alias("ways")
+    side = max(1, int(pairs_per_task**0.5))
+    hot = sizes.where(F.col("s").cast("double") * F.col("l") > pairs_per_task).select(
+        *GROUP, F.ceil(F.col("s") / side).cast("int").alias("ways_s"), F.ceil(F.col("l") / side).cast("int").alias("ways_l")
+    )
+    return keyed.join(hot, GROUP, "left").withColumns(
+        {"ways_s": F.coalesce("ways_s", F.lit(1)), "ways_l": F.coalesce("ways_l", F.lit(1))}
     )
-    if hot.isEmpty():
-        return keyed.withColumn("ways", F.lit(1))
-    return keyed.join(hot, group, "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+
+
+def candidates(seqs: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """(seq_no_a, seq_no_b, shorter): pairs of numbers that share a key and may be similar, each once."""
+    # A handful of numbers: the classes grow with the logarithm of the longest sequence.
+    classes = [r[0] for r in seqs.select(_class_of(F.col("len"))).distinct().collect()]
+    keyed = _spread(_keyed(seqs, sorted(classes)), pairs_per_task)
+    own = F.xxhash64("seq_no")
+    body = [*GROUP, "k", "seq_no", "len", "pos"]
+    mine_s, mine_l = F.pmod(own, F.col("ways_s")).cast("int"), F.pmod(own, F.col("ways_l")).cast("int")
+    all_s, all_l = F.sequence(F.lit(0), F.col("ways_s") - 1), F.sequence(F.lit(0), F.col("ways_l") - 1)
+    short = keyed.where("as_short").select(*body, "as_long", mine_s.alias("row"), F.explode(all_l).alias("col"))
+    long = keyed.where("as_long").select(*body, F.explode(all_s).alias("row"), mine_l.alias("col"))
+    met = short.alias("a").join(long.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*GROUP, "row", "col"]])
+    # Both in one class: each pair is wanted once, in order.
+    met = met.where((~F.col("a.as_long") | (F.col("a.seq_no") < F.col("b.seq_no"))) & (F.col("a.seq_no") != F.col("b.seq_no")))
+    n, m = F.least("a.len", "b.len"), F.greatest("a.len", "b.len")
+    most = F.col("a.k") + F.least(F.col("a.len") - F.col("a.pos"), F.col("b.len") - F.col("b.pos"))
+    near = met.where((most >= F.least(n, _half(m))) & (n >= 0.375 * m))
+    return near.select(
+        F.least("a.seq_no", "b.seq_no").alias("seq_no_a"), F.greatest("a.seq_no", "b.seq_no").alias("seq_no_b"), n.alias("shorter")
+    ).distinct()
 
 
 def _same_from(a: Column, b: Column) -> Column:
@@ -258,40 +270,20 @@ def similar_pairs(
     if threshold < THRESHOLD:
         raise ValueError("the keys are complete only for thresholds of 0.5 and more")
     seqs = cut(_with_elements(types))
-    # A handful of numbers: the classes grow with the logarithm of the longest sequence.
-    classes = [r[0] for r in seqs.select(_class_of(F.col("len"))).distinct().collect()]
-    native = seqs.agg(F.max("len")).first()[0] or 0
-    keyed = _spread(_keyed(seqs, sorted(classes)), pairs_per_task)
-    body = ["short_class", "long_class", "key", "k", "seq_no", "signs", "elements"]
-    ways = F.col("ways")
-    salt = F.pmod(F.xxhash64("seq_no"), ways).cast("int")
-    short = keyed.where("as_short").select(*body, "as_long", salt.alias("salt"))
-    long = (
-        keyed.where("as_long")
-        .select(*body, F.explode(F.sequence(F.lit(0), ways - 1)).alias("salt"))
-    )
-    on = ["short_class", "long_class", "key", "salt"]
-    # A fixed partition count: the rows are few bytes but much work, so AQE must not merge them.
-    tasks = int(types.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    short, long = short.repartition(tasks, *on).alias("a"), long.repartition(tasks, *on).alias("b")
-    met = short.join(long, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
-    # Both in one class: each pair is wanted once, in order.
-    met = met.where(~F.col("a.as_long") | (F.col("a.seq_no") < F.col("b.seq_no")))
-    shared = met.withColumn("common", F.array_intersect("a.elements", "b.elements"))
-    first = F.array_join(F.slice("common", F.lit(1), F.col("a.k")), SEP)
-    once = shared.where(first == F.col("a.key"))
-    flip = F.col("a.seq_no") > F.col("b.seq_no")
-
-    def side(when_kept: str, when_flipped: str) -> Column:
-        return F.when(flip, F.col(when_flipped)).otherwise(F.col(when_kept))
-
-    pairs = _once(once, overlap=F.size("common")).select(
-        side("a.seq_no", "b.seq_no").alias("seq_no_a"),
-        side("b.seq_no", "a.seq_no").alias("seq_no_b"),
-        side("a.signs", "b.signs").alias("signs_a"),
-        side("b.signs", "a.signs").alias("signs_b"),
-        "overlap",
-    )
-    return score(pairs, native <= NATIVE_LCS, threshold).select(
+    pairs = cut(candidates(seqs, pairs_per_task))
+    bodies = types.select("seq_no", "signs").join(seqs.select("seq_no", "elements"), "seq_no")
+
+    def body(side: str) -> DataFrame:
+        return bodies.select(
+            F.col("seq_no").alias(f"seq_no_{side}"), F.col("signs").alias(f"signs_{side}"), F.col("elements").alias(f"elements_{side}")
+        )
+
+    def scored(some: DataFrame, native: bool) -> DataFrame:
+        met = some.join(body("a"), "seq_no_a").join(body("b"), "seq_no_b")
+        met = _once(met, overlap=F.size(F.array_intersect("elements_a", "elements_b"))).drop("elements_a", "elements_b")
+        return score(met, native, threshold)
+
+    word = F.col("shorter") <= NATIVE_LCS
+    return scored(pairs.where(word), True).unionByName(scored(pairs.where(~word), False)).select(
         "seq_no_a", "seq_no_b", "signs_a", "signs_b", "similarity"
     )

@@ -68,6 +68,41 @@ def test_no_pair_is_missed(spark, seed, size, longest, words, per_task):
     assert want
 
 
+def test_long_sequences(spark):
+    """200 sequences of 3,000 tokens; the index holds no arrays."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(20_000)]
+    seqs = []
+    for i in range(200):
+        base = [rng.choice(words) for _ in range(3_000)] if i % 4 == 0 else list(seqs[-1])
+        if i % 4:
+            for _ in range((0, 20, 400, 2_000)[i % 4]):
+                base[rng.randrange(3_000)] = rng.choice(words)
+        seqs.append(base)
+    types = spark.createDataFrame(list(enumerate(seqs)), "seq_no long, signs array<string>")
+    got = {(r["seq_no_a"], r["seq_no_b"]): r["similarity"] for r in sm.similar_pairs(types).collect()}
+    want = {}
+    for (i, a), (j, b) in itertools.combinations(enumerate(seqs), 2):
+        if i // 4 == j // 4:  # others share too few tokens
+            masks = {}
+            for k, t in enumerate(a):
+                masks[t] = masks.get(t, 0) | (1 << k)
+            full = state = (1 << len(a)) - 1
+            for t in b:
+                u = state & masks.get(t, 0)
+                state = ((state + u) | (state - u)) & full
+            p = next((k for k in range(3_000) if a[k] != b[k]), 3_000)
+            s = next((k for k in range(3_000) if a[-1 - k] != b[-1 - k]), 3_000)
+            jac = len(set(a) & set(b)) / len(set(a) | set(b))
+            value = 0.4 * ((3_000 - state.bit_count()) / 3_000) + 0.2 * (p / 3_000) + 0.2 * (s / 3_000) + 0.2 * jac
+            if value >= 0.5:
+                want[i, j] = value
+    assert got == want
+    assert 100 < len(want) < 200
+    index = sm._keyed(sm._with_elements(types), [1])
+    assert not [f for f in index.schema.fields if f.dataType.typeName() == "array"]
+
+
 @pytest.mark.parametrize(
     ("a", "b", "value"),
     [
