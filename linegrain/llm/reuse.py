@@ -13,9 +13,8 @@ is encoded afresh, with a word of each chunk on either side, and the ids of
 those words must agree with the ids that the chunk brought along. Where they do
 not, twice as many words are taken, until they agree or nothing of the chunk is left.
 
-Texts are known by digest: equal texts are encoded once, and a hot text goes to
-its place once for each task that reads it. Hot chunks are joined as a skewed
-join. Nothing is capped: a chunk is as long as the hash makes it.
+Texts are known by digest: equal texts are encoded once, and a hot text leaves
+each task that reads it once. Hot chunks are joined as a skewed join. Nothing is capped: a chunk is as long as the hash makes it.
 
 NULL and empty texts have no ids and decode to the empty string. Rows with
 equal or NULL doc_id are documents of their own. An empty table gives no rows.
@@ -93,29 +92,15 @@ def _cuts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hash", "key", "start", "size"])
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text once a task."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for key in batch.column("_key").to_pylist():
-            keep.append(key not in seen)
-            seen.add(key)
-        yield batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
-
-
 def _encode_homes(batches: Iterator[pa.RecordBatch], name: str, path: str | None) -> Iterator[pa.RecordBatch]:
     library = encoder(name, path)
-    seen: set[bytes] = set()
     for part in steps(batches, "_text"):
         hashes, chunks = [], []
-        for key, text, homes in zip(*[part.column(c).to_pylist() for c in ("_key", "_text", "homes")], strict=True):
-            if key not in seen:
-                seen.add(key)
-                raw = text.encode()
-                for h in homes:
-                    hashes.append(h["hash"])
-                    chunks.append(raw[h["start"] : h["start"] + h["size"]].decode())
+        for text, homes in zip(part.column("_text").to_pylist(), part.column("homes").to_pylist(), strict=True):
+            raw = text.encode()
+            for h in homes:
+                hashes.append(h["hash"])
+                chunks.append(raw[h["start"] : h["start"] + h["size"]].decode())
         ids, counts = library.encode_many(chunks)
         ends = np.cumsum(counts)
         cells = [ids[b - n : b].astype("<u4").tobytes() for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
@@ -212,15 +197,11 @@ def _runs(coded: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]
 def _assemble(batches: Iterator[pa.RecordBatch], name: str, path: str | None, whole: bool) -> Iterator[pa.RecordBatch]:
     library = encoder(name, path)
     numbers = [str(i) for i in range(library.tokenizer.get_vocab_size())]
-    seen: set[bytes] = set()
     for part in steps(batches, "_text"):
-        keys, texts, known = [], [], []
-        for key, text, chunks in zip(*[part.column(c).to_pylist() for c in ("_key", "_text", "chunks")], strict=True):
-            if key not in seen:
-                seen.add(key)
-                keys.append(key)
-                texts.append(text)
-                known.append([(c["start"], c["size"], np.frombuffer(c["ids"], "<u4")) for c in chunks or []])
+        keys, texts = part.column("_key").to_pylist(), part.column("_text").to_pylist()
+        known = [
+            [(c["start"], c["size"], np.frombuffer(c["ids"], "<u4")) for c in chunks or []] for chunks in part.column("chunks").to_pylist()
+        ]
         ids = [x.tolist() for x in joined(texts, known, library)]
         decoded = library.tokenizer.decode_batch(ids, skip_special_tokens=False)
         columns = [
@@ -253,7 +234,9 @@ def encode_decode(
     homes = shared.groupBy(F.col("home.key").alias("_key")).agg(
         F.collect_list(F.struct(F.col("home.start").alias("start"), F.col("home.size").alias("size"), "hash")).alias("homes")
     )
-    texts = slim.mapInArrow(_once, "_key binary, _text string").repartition("_key")
+    # Equal texts become one row before they are shuffled. One shuffle serves both joins below if their sides are alike
+    # to the last filter; a key is never NULL, but its expression could be, and an inner join would filter one side alone.
+    texts = slim.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.any_value("_text").alias("_text"))
     coded = texts.join(homes, "_key").mapInArrow(lambda b: _encode_homes(b, vocabulary, path), "hash binary, ids binary")
     used = refs.join(coded, "hash").groupBy(F.col("key").alias("_key")).agg(
         F.collect_list(F.struct("start", "size", "ids")).alias("chunks")
@@ -261,5 +244,5 @@ def encode_decode(
     made = texts.join(used, "_key", "left").mapInArrow(
         lambda b: _assemble(b, vocabulary, path, whole), WHOLE if whole else RESULT
     )
-    results = pinned(made.dropDuplicates(["key"]), "encoded-texts")
+    results = pinned(made, "encoded-texts")
     return named.select("doc_id", "_key").join(results, F.col("_key") == F.col("key")).drop("_key", "key")

@@ -153,26 +153,6 @@ def unpack(words: np.ndarray, escapes: np.ndarray, lasts: np.ndarray, n_ids: np.
     return ids
 
 
-def _encode(batches: Iterator[pa.RecordBatch], name: str, end: int | None, path: str | None) -> Iterator[pa.RecordBatch]:
-    library = encoder(name, path)
-    for part in steps(batches, "_text"):
-        ids, n = with_ends(*library.encode_many(part.column("_text").to_pylist()), end)
-        words, escapes, n_words, n_escapes = pack(ids, n)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n, pa.int32()), _slices(words, n_words), _slices(escapes, n_escapes)],
-            names=["doc_id", "n_tokens", "words", "escapes"],
-        )
-
-
-def _slices(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Runs of 64-bit values as binary cells, without a copy for each."""
-    ends = np.concatenate([[0], np.cumsum(counts) * 8])
-    if ends[-1] >= 1 << 31:
-        return pa.array([values[a // 8 : b // 8].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-    offsets = pa.py_buffer(ends.astype(np.int32).tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, offsets, pa.py_buffer(values.astype("<u8").tobytes())])
-
-
 class _Block:
     def __init__(self, shard: int):
         self.shard, self.block, self.first = shard, 0, 0
@@ -181,7 +161,7 @@ class _Block:
     def clear(self) -> None:
         self.ids, self.n, self.offsets, self.words, self.escapes, self.size, self.n_escapes, self.n_ids = [], [], [], [], [], 0, 0, 0
 
-    def add(self, doc_id, n: int, words: bytes, escapes: bytes) -> None:
+    def add(self, doc_id, n: int, words: bytes | memoryview, escapes: bytes | memoryview) -> None:
         if escapes:  # their places move by what the block has already
             w = np.frombuffer(words, np.uint64).copy()
             w[(w & np.uint64(15)) == ESCAPE] += np.uint64(self.n_escapes << 4)
@@ -214,14 +194,20 @@ _ARROW = pa.schema(
 )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], name: str, end: int | None, path: str | None, most: int) -> Iterator[pa.RecordBatch]:
     """Blocks of one range partition; its documents come in order."""
+    library = encoder(name, path)
     block = None
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens", "words", "escapes")]
-        for shard, doc_id, n, words, escapes in zip(*columns, strict=True):
-            block = block or _Block(shard)
-            block.add(doc_id, n, words, escapes)
+    for part in steps(batches, "_text"):
+        block = block or _Block(part.column("shard")[0].as_py())
+        ids, n = with_ends(*library.encode_many(part.column("_text").to_pylist()), end)
+        words, escapes, n_words, n_escapes = pack(ids, n)
+        words, escapes = memoryview(words.astype("<u8").tobytes()), memoryview(escapes.astype("<u8").tobytes())
+        at = odd = 0
+        sizes = zip(part.column("doc_id").to_pylist(), n.tolist(), n_words.tolist(), n_escapes.tolist(), strict=True)
+        for doc_id, count, n_word, n_odd in sizes:
+            block.add(doc_id, count, words[at : at + 8 * n_word], escapes[odd : odd + 8 * n_odd])
+            at, odd = at + 8 * n_word, odd + 8 * n_odd
             if block.n_ids >= most:
                 yield pa.RecordBatch.from_pylist([block.close()], schema=_ARROW)
     if block and block.n:
@@ -242,16 +228,12 @@ def write_token_files(
 
     ``folder`` is where the files go; by default below the checkpoint folder.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    packed = pinned(
-        slim.mapInArrow(
-            lambda batches: _encode(batches, vocabulary, end_id, vocabulary_path),
-            "doc_id long, n_tokens int, words binary, escapes binary",
-        ),
-        "token-rows",
+    # Ranges are cut before texts are encoded, so each is encoded once; the hash parts rows without an id.
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    ordered = slim.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "_text")
+    blocks = ordered.select("doc_id", "_text", F.spark_partition_id().alias("shard")).mapInArrow(
+        lambda batches: _blocks(batches, vocabulary, end_id, vocabulary_path, block_ids), BLOCKS
     )
-    ordered = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "words")
-    blocks = ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(lambda b: _blocks(b, block_ids), BLOCKS)
     if folder is None:
         return pinned(blocks, "token-files")
     blocks.write.parquet(folder)
