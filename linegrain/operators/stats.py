@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from linegrain.functions import text as tx
 from linegrain.operators.templates import position_counts
@@ -44,49 +43,64 @@ def position_expectation(lines: DataFrame, token: str, length: int, position: in
     )
 
 
-@F.pandas_udf(T.LongType())
-def _shuffled_hits(
-    draw: pd.Series, lines: pd.Series, chance: pd.Series, seed: pd.Series
-) -> pd.Series:
-    """Hits in one round of shuffles: lines with the same k are one binomial draw."""
-    return pd.Series(
-        [
-            int(np.random.default_rng([int(s), int(d)]).binomial(np.asarray(n), np.asarray(p)).sum())
-            for d, n, p, s in zip(draw, lines, chance, seed, strict=True)
-        ]
-    )
+#: Rounds of shuffles that the p-value of a test is the expectation of, and frequencies that one row stands for.
+ROUNDS, FREQUENCIES = 5000, 4096
+
+
+def _tail_term(m: Column, n: Column, s: Column, classes: Column, length: int) -> Column:
+    """One frequency's share of P(X >= s), X being a sum of n independent hits.
+
+    With phi the characteristic function of X and theta = 2 pi m / (n + 1), the
+    probabilities are the inverse transform of phi at n + 1 frequencies, and the
+    sum of a tail over its terms is a geometric series:
+    -|phi| sin(theta s / 2) / sin(theta / 2) cos(arg phi - theta (s - 1) / 2).
+    """
+    theta = F.lit(2 * math.pi) * m / (n + 1)
+
+    def total(part) -> Column:
+        return F.aggregate(classes, F.lit(0.0), lambda acc, c: acc + c["n"] * part(c["k"] / F.lit(float(length))))
+
+    size = total(lambda p: 0.5 * F.ln(F.greatest(F.lit(1e-300), (1 - p) * (1 - p) + p * p + 2 * p * (1 - p) * F.cos(theta))))
+    turn = total(lambda p: F.atan2(p * F.sin(theta), 1 - p + p * F.cos(theta)))
+    # m s is taken modulo 2 (n + 1), so that large products keep their digits.
+    half = F.lit(math.pi) * ((m * s) % (2 * (n + 1))) / (n + 1)
+    term = -F.exp(size) * F.sin(half) / F.sin(theta / 2) * F.cos(turn - half + theta / 2)
+    return F.when(m == 0, (n + 1 - s).cast("double")).otherwise(term)
 
 
 def position_test(
-    lines: DataFrame, token: str, length: int, position: int, rounds: int = 5000, seed: int = 17
+    lines: DataFrame, token: str, length: int, position: int, rounds: int = ROUNDS
 ) -> DataFrame:
-    """One-sided permutation test of ``token`` at ``position`` in lines of ``length``.
+    """One-sided test of ``token`` at ``position`` in lines of ``length``, against shuffles inside lines.
 
-    The corpus is first reduced to one row per k (at most ``length`` rows), so
-    the rounds cost the same for any corpus.
+    A line with k of the tokens hits with probability k / length, so a round of
+    shuffles is a sum of unequal hits. Its tail is exact: the corpus is reduced
+    to one row per k, and a sum over frequencies, dealt out in rows, gives the
+    probability. The p-value is what ``rounds`` rounds give on average, the
+    observed round counted in.
     """
     subset = _position_subset(lines, token, length, position)
     by_k = subset.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"))
-    ordered = F.array_sort(F.collect_list(F.struct("k", "n")))
     classes = by_k.agg(
-        F.transform(ordered, lambda c: c["n"]).alias("n"),
-        F.transform(ordered, lambda c: c["k"] / F.lit(float(length))).alias("p"),
+        F.array_sort(F.collect_list(F.struct("k", "n"))).alias("classes"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("observed_total"),
         F.coalesce(F.sum("hits"), F.lit(0)).alias("observed_count"),
         F.round(F.coalesce(F.sum(F.col("k") * F.col("n")), F.lit(0)) / length, 6).alias("mean"),
     )
-    drawn = classes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn(
-        "got", _shuffled_hits("draw", "n", "p", F.lit(seed))
-    )
-    rolled = drawn.groupBy("observed_total", "observed_count", "mean").agg(
-        F.count_if(F.col("got") >= F.col("observed_count")).alias("ge")
-    )
-    p = (F.col("ge") + 1) / (rounds + 1)
+    n, s = F.col("observed_total"), F.col("observed_count")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), n, F.lit(FREQUENCIES).cast("long"))).alias("first")
+    rows = classes.select("*", first).repartition("first")
+    last = F.least(n, F.col("first") + FREQUENCIES - 1)
+    each = rows.select("*", F.explode(F.sequence(F.col("first"), last)).alias("m"))
+    term = _tail_term(F.col("m"), n, s, F.col("classes"), length)
+    rolled = each.groupBy("observed_total", "observed_count", "mean").agg((F.sum(term) / (F.max(n) + 1)).alias("tail"))
+    tail = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("tail")))
+    p = (tail * rounds + 1) / (rounds + 1)
     return rolled.select(
         "observed_total",
         "observed_count",
         F.col("mean").alias("expected_mean_under_null"),
-        F.when(F.col("observed_total") == 0, 1.0).otherwise(p).alias("p_value_ge_observed"),
+        F.when(n == 0, 1.0).otherwise(p).alias("p_value_ge_observed"),
     )
 
 

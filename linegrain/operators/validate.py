@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linegrain.functions import text as tx
-from linegrain.scale import list_pages, whole_lists
+from linegrain.scale import list_pages
 from linegrain.session import cut
 
 REQUIRED = ["source_name", "artifact_id", "line_id", "sign_sequence", "provenance_url"]
 HARD_RATE_LIMIT = 0.05
 DUPLICATE_KEY = ["k_source", "k_artifact", "k_line", "sanitized"]
 MERGE_KEY = ["artifact_id", "line_id", "sign_sequence"]
+BUCKETS = 256
 LISTS = ["source_id", "source_name", "provenance", "provenance_url", "notes"]
 
 
@@ -214,41 +215,87 @@ def _incoming(stored: DataFrame, new: DataFrame, now: str) -> DataFrame:
     return old.unionByName(fresh.withColumn("is_new", F.lit(True)))
 
 
+def key_hash(artifact: Column | str = "artifact_id", line: Column | str = "line_id", sequence: Column | str = "sign_sequence") -> Column:
+    """256 bits that stand for a merge key: sequences may be long, and a key goes through every shuffle."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in (artifact, line, sequence)]
+    return F.unhex(F.sha2(F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]), 256))
+
+
 def merge_lists(stored: DataFrame, new: DataFrame, now: str) -> DataFrame:
     """Sources, ids, provenance and notes of every merged key, in pages of bounded size."""
-    both = _incoming(stored, new, now)
+    both = _incoming(stored, new, now).withColumn("key", key_hash())
     pairs = [F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in LISTS]
     # A link is provenance as well.
     pairs.append(F.struct(F.lit("provenance").alias("field"), F.col("provenance_url").alias("value")))
-    long = both.select(*MERGE_KEY, F.inline(F.array(*pairs))).where(F.col("value") != "")
+    long = both.select("key", F.inline(F.array(*pairs))).where(F.col("value") != "")
     ids = F.col("field") == "source_id"
-    group = [*MERGE_KEY, "field"]
-    return list_pages(long.where(ids), group, "value", "|").unionByName(
-        list_pages(long.where(~ids), group, "value", " | ")
+    pages = list_pages(long.where(ids), ["key", "field"], "value", "|").unionByName(
+        list_pages(long.where(~ids), ["key", "field"], "value", " | ")
     )
+    texts = both.groupBy("key").agg(*[F.any_value(c).alias(c) for c in MERGE_KEY])
+    return pages.join(texts, "key").select(*MERGE_KEY, "field", "page", "items", "item_count")
 
 
-def merge(stored: DataFrame, new: DataFrame, now: str, lists: DataFrame, whole: bool = False) -> DataFrame:
-    """The full union by (artifact, line, sequence); list cells hold their first page, or all if ``whole``."""
+def merge(stored: DataFrame, new: DataFrame, now: str) -> DataFrame:
+    """The full union by (artifact, line, sequence), with the whole lists of every key.
+
+    One shuffle on the hash of the key does it all: sets combine map-side, so
+    a key with very many copies costs one partial row a task. A cell is as long
+    as its list.
+    """
     order = F.struct("is_new", "row_number")
-    rolled = _incoming(stored, new, now).groupBy(*MERGE_KEY).agg(
+    sets = {c: F.collect_set(F.when(F.col(c) != "", F.col(c))) for c in LISTS}
+    # A link is provenance as well.
+    sets["provenance"] = F.array_union(sets["provenance"], sets["provenance_url"])
+    rolled = _incoming(stored, new, now).withColumn("key", key_hash()).groupBy("key").agg(
+        *[F.any_value(c).alias(c) for c in MERGE_KEY],
+        *[F.array_join(F.array_sort(v), "|" if c == "source_id" else " | ").alias(c) for c, v in sets.items()],
         F.bool_or("is_new").alias("touched"),
         F.min_by("ingestion_timestamp", order).alias("first_stamp"),
         F.count(F.lit(1)).alias("merged_rows"),
     )
-    if whole:
-        ids, group = F.col("field") == "source_id", [*MERGE_KEY, "field"]
-        shown = whole_lists(lists.where(ids), group, "|").unionByName(whole_lists(lists.where(~ids), group, " | "))
-    else:
-        shown = lists.where(F.col("page") == 0)
-    cells = shown.groupBy(*MERGE_KEY).agg(
-        *[F.max(F.when(F.col("field") == c, F.col("items"))).alias(c) for c in LISTS]
-    )
-    return rolled.join(cells, MERGE_KEY, "left").select(
-        *MERGE_KEY,
-        *[F.coalesce(c, F.lit("")).alias(c) for c in LISTS],
-        F.when(F.col("touched"), F.lit(now)).otherwise(F.col("first_stamp")).alias(
-            "ingestion_timestamp"
-        ),
-        "merged_rows",
-    )
+    stamp = F.when(F.col("touched"), F.lit(now)).otherwise(F.col("first_stamp")).alias("ingestion_timestamp")
+    return rolled.select(*MERGE_KEY, *LISTS, stamp, "merged_rows")
+
+
+def bucket_of(buckets: int = BUCKETS) -> Column:
+    """Where a merge key is stored, from the first bytes of its hash."""
+    head = F.conv(F.substring(F.hex(key_hash()), 1, 8), 16, 10).cast("long")
+    return (head % buckets).cast("int")
+
+
+def write_corpus(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """A corpus as one folder a bucket; only the buckets that ``rows`` have are replaced."""
+    kept = rows.withColumn("bucket", bucket_of(buckets))
+    writer = kept.repartition("bucket", F.xxhash64(*MERGE_KEY) % 8).write.mode("overwrite").partitionBy("bucket")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def upsert(spark: SparkSession, path: str, new: DataFrame, now: str, buckets: int = BUCKETS) -> DataFrame:
+    """Merges rows into the corpus at ``path`` and returns the keys that came or changed.
+
+    Buckets that get no row are neither read nor written. The merged rows are
+    checkpointed before a bucket is replaced, so the job can be run again.
+    """
+    fresh = cut(new.withColumn("bucket", bucket_of(buckets)))
+    # At most as many numbers as there are buckets.
+    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
+    if not touched:
+        return spark.read.parquet(path).limit(0).drop("bucket")
+    held = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    # A stored cell holds a list; its values are merged one by one.
+    merged = cut(merge(normalize_stored(unrolled(held)), fresh.drop("bucket"), now))
+    write_corpus(merged, path, buckets)
+    return merged.where(F.col("ingestion_timestamp") == now)
+
+
+def unrolled(stored: DataFrame) -> DataFrame:
+    """Stored rows with a row for each place of their lists, the values of one place side by side."""
+    lists = {c: F.split(F.coalesce(c, F.lit("")), r"\|" if c == "source_id" else r" \| ") for c in LISTS}
+    widest = F.greatest(*[F.size(v) for v in lists.values()])
+    each = stored.withColumn("_at", F.explode(F.sequence(F.lit(0), widest - 1)))
+    values = {c: F.coalesce(F.get(v, F.col("_at")), F.lit("")) for c, v in lists.items()}
+    # A name or id that is not there must not be made up from a default: the first of the list stands in.
+    for c in ("source_id", "source_name", "provenance"):
+        values[c] = F.coalesce(F.nullif(values[c], F.lit("")), F.get(lists[c], F.lit(0)))
+    return each.withColumns(values).withColumn("row_number", F.xxhash64(*MERGE_KEY, "_at")).drop("_at", "bucket")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linegrain.session import cut
 
 # Litres in one unit.
 LITRES = {
@@ -50,8 +49,33 @@ def group_ratios(volume_rows: DataFrame, group: str = "artifact_id") -> DataFram
     return kept.select(group, *[F.round(F.col(c) / total, 6).alias(c) for c in STAPLES])
 
 
-def ratio_clusters(ratios: DataFrame, k: int = 2, seed: int = 7) -> DataFrame:
-    """Groups with similar shares, by k-means on the three shares."""
-    vectors = VectorAssembler(inputCols=STAPLES, outputCol="features").transform(ratios)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).drop("features")
+#: Where the clusters start, as shares of the staples: all grain, all wine.
+CENTRES = ((1.0, 0.0, 0.0), (0.0, 0.0, 1.0))
+
+
+def _nearest(centres: list[tuple[float, ...]]) -> Column:
+    """The number of the nearest centre; of two as near, the first."""
+
+    def far(centre: tuple[float, ...]) -> Column:
+        parts = [(F.col(c) - F.lit(x)) * (F.col(c) - F.lit(x)) for c, x in zip(STAPLES, centre, strict=True)]
+        return sum(parts[1:], parts[0])
+
+    ways = [F.struct(F.round(far(x), 12).alias("d"), F.lit(i).alias("i")) for i, x in enumerate(centres)]
+    return F.least(*ways)["i"] if len(ways) > 1 else F.lit(0)
+
+
+def ratio_clusters(ratios: DataFrame, centres: tuple[tuple[float, ...], ...] = CENTRES) -> DataFrame:
+    """Groups with similar shares: Lloyd's steps from fixed centres until the centres stay.
+
+    A step is one aggregate of the rows by nearest centre, whose few numbers
+    are the next step's centres; rows are written once. A centre that loses all
+    its rows stays where it is.
+    """
+    rows = cut(ratios)
+    now, met = [tuple(c) for c in centres], []
+    while now not in met:  # rounded means may also alternate between two states
+        met.append(now)
+        means = rows.groupBy(_nearest(now).alias("i")).agg(*[F.round(F.avg(c), 9).alias(c) for c in STAPLES])
+        found = {r["i"]: tuple(r[c] for c in STAPLES) for r in means.collect()}  # a row for each centre
+        now = [found.get(i, c) for i, c in enumerate(now)]
+    return rows.withColumn("cluster", _nearest(now))

@@ -159,10 +159,8 @@ def run_ingest(
     now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     old = cut(va.normalize_stored(stored))
     new = sinks.read_table(spark, root, "validation_rows", run_id).drop("run_id")
-    lists = cut(va.merge_lists(old, new, now))
-    sinks.write_table(lists, root, "external_corpus_lists", run_id)
-    merged = va.merge(old, new, now, lists, whole=True)
-    sinks.write_table(merged, root, "external_corpus", run_id)
+    sinks.write_table(va.merge_lists(old, new, now), root, "external_corpus_lists", run_id)
+    sinks.write_table(va.merge(old, new, now), root, "external_corpus", run_id)
     return {
         "summary": summary,
         "merged": sinks.read_table(spark, root, "external_corpus", run_id).drop("run_id"),

@@ -30,10 +30,34 @@ def test_position_expectation(spark, sf):
     return st.position_expectation(corpora.event_lines(spark, sf), TOKEN, LENGTH, POSITION)
 
 
-# The rounds are random draws, so there is no SQL for the p-value.
-@query("test_position_permutation")
+# The tail by convolution: one binomial for each number of tokens in a line, summed over all splits of the hits.
+def tail_sql() -> str:
+    """One-row table ``tail`` with the chance of at least the observed hits; lines of LENGTH have one to four tokens."""
+    chance = f"""exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / {LENGTH}::DOUBLE)
+      + (n - j) * ln(1 - k / {LENGTH}::DOUBLE))"""
+    return f"""{_SUBSET},
+  ks AS (SELECT c.k, count(s.k) AS n FROM (SELECT unnest(range(1, {LENGTH} + 1)) AS k) c LEFT JOIN sub s ON s.k = c.k GROUP BY c.k),
+  pmf AS (SELECT k, j, CASE WHEN k = {LENGTH} THEN (j = n)::INT::DOUBLE ELSE {chance} END AS p
+    FROM (SELECT k, n, unnest(range(0, n + 1)) AS j FROM ks)),
+  obs AS (SELECT count(*) AS observed_total, count(*) FILTER (hit) AS observed_count,
+    round(coalesce(sum(k), 0) / {LENGTH}, 6) AS expected_mean_under_null FROM sub),
+  few AS (SELECT b.j + c.j + d.j AS j, sum(b.p * c.p * d.p) AS p FROM pmf b, pmf c, pmf d
+    WHERE b.k = 2 AND c.k = 3 AND d.k = 4 AND d.p > 0 GROUP BY 1),
+  atleast AS (SELECT j, sum(p) OVER (ORDER BY j DESC) AS p FROM pmf WHERE k = 1),
+  tail AS (SELECT observed_total, observed_count, expected_mean_under_null, CASE WHEN observed_total = 0 THEN 1 ELSE
+      ({st.ROUNDS} * (SELECT coalesce(sum(few.p * CASE WHEN observed_count <= few.j THEN 1 ELSE coalesce(a.p, 0) END), 0)
+        FROM few LEFT JOIN atleast a ON a.j = observed_count - few.j) + 1) / {st.ROUNDS + 1} END AS p_value_ge_observed
+    FROM obs)"""
+
+
+@query(
+    "test_position_permutation",
+    f"""WITH {q.EV}, {tail_sql()} SELECT observed_total, observed_count, expected_mean_under_null,
+      round(p_value_ge_observed, 6) AS p_value_ge_observed FROM tail""",
+)
 def test_position_permutation(spark, sf):
-    return st.position_test(corpora.event_lines(spark, sf), TOKEN, LENGTH, POSITION)
+    tested = st.position_test(corpora.event_lines(spark, sf), TOKEN, LENGTH, POSITION)
+    return tested.withColumn("p_value_ge_observed", F.round("p_value_ge_observed", 6))
 
 
 _STEMS = """stems AS (SELECT signs[1] || ' ' || signs[2] AS stem,
@@ -80,10 +104,16 @@ def support_scores(spark, sf):
     return st.stem_support(cut(corpora.event_lines(spark, sf)))
 
 
-@query("support_scores_pivot")
+@query(
+    "support_scores_pivot",
+    f"""WITH {q.EV}, {tail_sql()} SELECT observed_total, observed_count, expected_mean_under_null,
+      round(p_value_ge_observed, 6) AS p_value_ge_observed,
+      round(least(84.0::DOUBLE, 100 * (0.45::DOUBLE * observed_count / greatest(1, observed_total)
+        + 0.3::DOUBLE * (1 - p_value_ge_observed) + 0.25::DOUBLE * least(1, observed_total / 12))), 6) AS support FROM tail""",
+)
 def support_scores_pivot(spark, sf):
     test = st.position_test(corpora.event_lines(spark, sf), TOKEN, LENGTH, POSITION)
-    return st.pivot_support(test)
+    return st.pivot_support(test).withColumn("p_value_ge_observed", F.round("p_value_ge_observed", 6))
 
 
 def metrics_sql(source: str) -> str:

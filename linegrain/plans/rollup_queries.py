@@ -244,10 +244,34 @@ def group_ratios(spark, sf):
     return vo.group_ratios(vo.volumes(_substituted(spark, sf)))
 
 
-# k-means has no SQL form.
-@query("ratio_clusters")
+def _lloyd_sql(steps: int = 40) -> str:
+    """``lloyd``: the centres after so many steps, which the rows here need far fewer of to settle."""
+    names = [f"c{i}_{c}" for i in range(len(vo.CENTRES)) for c in vo.STAPLES]
+    start = ", ".join(f"{x!r}::DOUBLE AS {n}" for n, x in zip(names, [x for c in vo.CENTRES for x in c], strict=True))
+    means = ", ".join(
+        f"coalesce(round(avg({c}) FILTER (i = {i}), 9), any_value(c{i}_{c}))" for i in range(len(vo.CENTRES)) for c in vo.STAPLES
+    )
+    return f"""rt AS (SELECT artifact_id, round(g / (g + o + w), 6) AS grain,
+      round(o / (g + o + w), 6) AS oil, round(w / (g + o + w), 6) AS wine FROM w0 WHERE g + o + w > 0),
+  lloyd AS (SELECT 0 AS step, {start} UNION ALL
+    SELECT step + 1, {means} FROM (SELECT l.*, rt.*, {_near("l")} AS i FROM lloyd l, rt) WHERE step < {steps} GROUP BY step)"""
+
+
+def _near(at: str) -> str:
+    far = [
+        "round(" + " + ".join(f"(rt.{c} - {at}.c{i}_{c}) * (rt.{c} - {at}.c{i}_{c})" for c in vo.STAPLES) + ", 12)"
+        for i in range(len(vo.CENTRES))
+    ]
+    return f"CASE WHEN {far[0]} <= {far[1]} THEN 0 ELSE 1 END"
+
+
+@query(
+    "ratio_clusters",
+    f"""WITH RECURSIVE {_RATIOS}, {_lloyd_sql()} SELECT rt.artifact_id, grain, oil, wine, {_near("l")} AS cluster
+    FROM rt, (SELECT * FROM lloyd ORDER BY step DESC LIMIT 1) l""",
+)
 def ratio_clusters(spark, sf):
-    return vo.ratio_clusters(cut(vo.group_ratios(vo.volumes(_substituted(spark, sf)))))
+    return vo.ratio_clusters(vo.group_ratios(vo.volumes(_substituted(spark, sf))))
 
 
 # ---- scorecards -------------------------------------------------------------

@@ -168,14 +168,12 @@ def merge_normalize_existing(spark, sf):
     return stored_rows(spark, sf)
 
 
-# Stored: all document lines. New: the accepted lines of documents that were labelled good.
+# Stored: all document lines. New: the accepted lines of all documents.
 MERGE = f"""WITH {PREPARED}, {STORED},
-  good AS (SELECT *, row_number() OVER (PARTITION BY trim(source_name), upper(trim(artifact_id)),
-      trim(line_id), sanitized ORDER BY row_number) AS nth_good FROM ok_ WHERE quality = 1),
   fresh AS (SELECT row_number, source_name,
       trim(regexp_replace(lower(source_name), '[^a-z0-9]+', '_', 'g'), '_') AS source_id,
       {_KEY} AS artifact_id, line_id, sanitized AS sign_sequence, provenance_url AS provenance,
-      notes, '{NOW}' AS ingestion_timestamp, provenance_url FROM good WHERE nth_good = 1),
+      notes, '{NOW}' AS ingestion_timestamp, provenance_url FROM ok_ WHERE nth = 1),
   both_ AS (SELECT *, false AS is_new FROM stored UNION ALL BY NAME SELECT *, true AS is_new
     FROM fresh),
   long AS (SELECT DISTINCT artifact_id, line_id, sign_sequence, field, value FROM (
@@ -189,13 +187,16 @@ MERGE = f"""WITH {PREPARED}, {STORED},
       CASE field WHEN 'source_id' THEN string_agg(value, '|' ORDER BY value)
       ELSE string_agg(value, ' | ' ORDER BY value) END AS items,
       count(*) AS item_count FROM paged
-    GROUP BY artifact_id, line_id, sign_sequence, field, page)"""
+    GROUP BY artifact_id, line_id, sign_sequence, field, page),
+  wholes AS (SELECT artifact_id, line_id, sign_sequence, field,
+      CASE field WHEN 'source_id' THEN string_agg(value, '|' ORDER BY value)
+      ELSE string_agg(value, ' | ' ORDER BY value) END AS items FROM long
+    GROUP BY artifact_id, line_id, sign_sequence, field)"""
 
 
 def merge_inputs(spark, sf):
-    labels = corpora.table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct()
-    good = import_rows(spark, sf).join(labels, "doc_id", "left_semi")
-    fresh = cut(va.accepted_rows(va.mark_repeats(cut(va.prepare(good)))))
+    rows = import_rows(spark, sf)
+    fresh = cut(va.accepted_rows(va.mark_repeats(cut(va.prepare(rows)))))
     return cut(stored_rows(spark, sf)), fresh
 
 
@@ -207,13 +208,12 @@ def merge_inputs(spark, sf):
     FROM (SELECT artifact_id, line_id, sign_sequence, bool_or(is_new) AS touched,
         first(ingestion_timestamp ORDER BY is_new, row_number) AS first_stamp,
         count(*) AS merged_rows FROM both_ GROUP BY ALL) b
-    JOIN (PIVOT (SELECT artifact_id, line_id, sign_sequence, field, items FROM lists
-        WHERE page = 0) ON field IN ('source_id', 'source_name', 'provenance', 'provenance_url',
+    JOIN (PIVOT (SELECT artifact_id, line_id, sign_sequence, field, items FROM wholes) ON field IN ('source_id', 'source_name', 'provenance', 'provenance_url',
         'notes') USING first(items)) l USING (artifact_id, line_id, sign_sequence)""",
 )
 def merge_upsert(spark, sf):
     stored, fresh = merge_inputs(spark, sf)
-    return va.merge(stored, fresh, NOW, va.merge_lists(stored, fresh, NOW))
+    return va.merge(stored, fresh, NOW)
 
 
 @query("merge_upsert_lists", f"{MERGE} SELECT * FROM lists")

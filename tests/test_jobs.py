@@ -140,6 +140,25 @@ def test_hot_line_keeps_every_source_through_two_merges(spark, tmp_path):
     assert twice["provenance"].split(" | ") == [*urls, "v0", "w0"]
 
 
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    names = "row_number long, source_id string, artifact_id string, line_id string, sign_sequence string, provenance string, notes string, ingestion_timestamp string, source_name string, provenance_url string"
+    rows = [(i, "s", f"HT {i % 90}", f"l{i % 7}", "KU RO", f"u{i}", "", "T0", "S", f"u{i}") for i in range(400)]
+    stored = va.normalize_stored(spark.createDataFrame(rows, names))
+    path = str(tmp_path / "corpus")
+    va.write_corpus(va.merge(stored, va.accepted_rows(va.mark_repeats(va.prepare(_imports(spark, [])))), "T0"), path, 32)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "corpus").rglob("*.parquet")}
+    raw = _imports(spark, [(1, "New", "HT 3", "l3", "KU RO", "v0", "n"), (2, "New", "HT 999", "l0", "KU RO", "v1", "")])
+    new = va.accepted_rows(va.mark_repeats(va.prepare(raw)))
+    changed = va.upsert(spark, path, new, "T1", 32).collect()
+    assert {(r["artifact_id"], r["line_id"]) for r in changed} == {("HT 3", "l3"), ("HT 999", "l0")}
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "corpus").rglob("*.parquet")}
+    touched = {f.parent.name for f, _ in set(before.items()) ^ set(after.items())}
+    assert 1 <= len(touched) <= 2
+    columns = ["artifact_id", "line_id", "sign_sequence", *va.LISTS, "ingestion_timestamp"]
+    got = {tuple(r) for r in spark.read.parquet(path).select(*columns).collect()}
+    assert got == {tuple(r) for r in va.merge(stored, new, "T1").select(*columns).collect()}
+
+
 def test_hot_line_keeps_every_tag_in_a_run(spark, tmp_path):
     tags = [f"p{i:04d}" for i in range(1_200)]
     rows = [
