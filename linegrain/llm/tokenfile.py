@@ -53,6 +53,8 @@ BLOCKS = (
 _WIDTH = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 _LEAST = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _MOST = max(c for _, c in SELECTORS)
+#: Ids in a word by selector; a run of zeros has its own count.
+_HELD = np.array([c for _, c in SELECTORS] + [0, 1])
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -95,13 +97,10 @@ def pack(ids: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray,
     width[at] = _widths(ids)
     widest = _widest(width, at)
     choice = np.full(n, ESCAPE, np.int8)
-    step = np.ones(n, np.int64)
     for selector in range(len(SELECTORS) - 1, -1, -1):
         bits, count = SELECTORS[selector]
-        fits = widest[count] <= bits
-        choice[fits] = selector
-        step[fits] = count
-    step = np.minimum(step, stop - place)
+        np.copyto(choice, np.int8(selector), where=widest[count] <= bits)
+    step = np.minimum(_HELD[choice], stop - place)
     if np.count_nonzero(ids == 0) > _MOST:
         zeros = np.minimum(np.minimum.accumulate(np.where(ids != 0, place, n)[::-1])[::-1], stop) - place
         long_run = zeros > _MOST
@@ -135,7 +134,7 @@ def unpack(words: np.ndarray, escapes: np.ndarray, lasts: np.ndarray, n_ids: np.
     """
     selector = (words & np.uint64(15)).astype(np.int64)
     body = words >> np.uint64(4)
-    count = np.array([c for _, c in SELECTORS] + [0, 1])[selector]
+    count = _HELD[selector]
     count[selector == ZEROS] = body[selector == ZEROS].astype(np.int64)
     firsts = np.concatenate([[0], lasts[:-1]])
     held = np.concatenate([[0], np.cumsum(count)])

@@ -27,14 +27,16 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-įıĳ-ſ"
 _SIGNS = r"\x00-\x08\x0e-\x1b!-&(-/:-@\[-`{}~"
 _ODD = f"[^{WHITE}{_LATIN}0-9{_SIGNS}]"
 _REST = f"[{_LATIN}0-9{_SIGNS}]*+{_ODD}[^{WHITE}]*"
-_PARTS = {
+_CUTS = {
     # White space is dropped, digits stand one by one.
-    "word_bpe_49k.json": re.compile(f"(?<![^{WHITE}]){_REST}|[{_LATIN}]+|[0-9]|[{_SIGNS}]+"),
+    "word_bpe_49k.json": (f"(?<![^{WHITE}]){_REST}|", f"[{_LATIN}]+|[0-9]|[{_SIGNS}]+"),
     # A space belongs to what is behind it; other white space stands alone.
-    "byte_bpe_50k.json": re.compile(
-        f"(?: |(?<![^{WHITE}])){_REST}| ?[{_LATIN}]+| ?[0-9]+| ?[{_SIGNS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+    "byte_bpe_50k.json": (
+        f"(?: |(?<![^{WHITE}])){_REST}|",
+        f" ?[{_LATIN}]+| ?[0-9]+| ?[{_SIGNS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+",
     ),
 }
+_IS_ODD = re.compile(_ODD).search
 _LOWER = {"word_bpe_49k.json"}
 _RUN = re.compile(f" ?(?:[{_LATIN}]+|[0-9]+|[{_SIGNS}]+)").fullmatch
 #: A special token of both vocabularies, which ends whatever stands before it.
@@ -84,7 +86,8 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.stop = self.tokenizer.token_to_id(_STOP)
-        self.parts, self.lower = _PARTS[name].findall, name in _LOWER
+        odd, runs = _CUTS[name]
+        self.runs, self.parts, self.lower = re.compile(runs).findall, re.compile(odd + runs).findall, name in _LOWER
         self.merge = self.tokenizer.model.tokenize
         level = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.shown = {i: level(chr(i))[0][0] for i in range(0x180)}
@@ -103,7 +106,7 @@ class Encoder:
         """The ids of all texts after each other, and how many each text has."""
         if len(self.known) > self.keep:
             self._forget()
-        parts = [self.parts(t) if t else [] for t in texts]
+        parts = [(self.parts if _IS_ODD(t) else self.runs)(t) if t else [] for t in texts]
         flat = list(chain.from_iterable(parts))
         numbers = list(map(self.known.get, flat))
         long: list[str] = []
