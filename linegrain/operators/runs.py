@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAIN = 0.004
-RUN_METRICS = ["observations", "canonical_entries", "artifact_count", "coverage", "final_score"]
+#: Numbers of a run that are compared, where a run has them; a label says which one a number belongs to.
+RUN_METRICS = [
+    "observations", "canonical_entries", "artifact_count", "external_rows_loaded", "coverage", "final_score",
+    "structural_confidence", "best_model",
+]
 
 
 def pick_baseline(runs: DataFrame, current: str) -> DataFrame:
@@ -28,28 +32,34 @@ def pick_baseline(runs: DataFrame, current: str) -> DataFrame:
     return earlier.agg(F.max_by("run_id", key).alias("baseline_run"), F.max("rule").alias("rule"))
 
 
-def delta_metrics(runs: DataFrame, baseline: str, current: str) -> DataFrame:
-    """Before, after and difference of each metric of two runs."""
+def registry(runs: DataFrame) -> DataFrame:
+    """(run_id, metric, value, label): a row for each number that a run has.
 
-    def long(run: str, name: str) -> DataFrame:
-        cells = [
-            F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(name))
-            for m in RUN_METRICS
-            if m in runs.columns
-        ]
-        return runs.where(F.col("run_id") == run).select(F.inline(F.array(*cells)))
+    ``runs`` has a row for each run; ``<metric>_label`` may stand beside a
+    metric, such as the name of the best model beside its figure.
+    """
 
-    joined = long(baseline, "before").join(long(current, "after"), "metric", "full")
-    return joined.withColumn("delta", F.col("after") - F.col("before"))
+    def cell(metric: str) -> Column:
+        label = F.col(f"{metric}_label") if f"{metric}_label" in runs.columns else F.lit(None)
+        return F.struct(F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value"), label.cast("string").alias("label"))
 
+    cells = F.array(*[cell(m) for m in RUN_METRICS if m in runs.columns])
+    return runs.select("run_id", F.inline(cells)).where(F.col("value").isNotNull() | F.col("label").isNotNull())
 
-def best_model(scores: DataFrame) -> DataFrame:
-    """The best combined model of each run."""
-    rows = scores.where("cv_scheme = 'combined'")
-    return rows.groupBy("run_id").agg(
-        F.max_by("model", F.struct("overall_goodness_score", "model")).alias("best_model"),
-        F.max("overall_goodness_score").alias("overall_goodness_score"),
-    )
+
+def registered(rows: DataFrame, metric: str) -> DataFrame:
+    """(run_id, ``metric``) of all runs of a registry."""
+    return rows.where(F.col("metric") == metric).select("run_id", F.col("value").alias(metric))
+
+
+def delta_metrics(rows: DataFrame, baseline: str, current: str) -> DataFrame:
+    """Before, after and difference of every metric that either run of a registry has."""
+
+    def side(run: str, name: str) -> DataFrame:
+        return rows.where(F.col("run_id") == run).select("metric", F.col("value").alias(name), F.col("label").alias(f"{name}_label"))
+
+    joined = side(baseline, "before").join(side(current, "after"), "metric", "full")
+    return joined.select("metric", "before", "after", (F.col("after") - F.col("before")).alias("delta"), "before_label", "after_label")
 
 
 def initial_share_gains(

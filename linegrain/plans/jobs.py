@@ -14,6 +14,7 @@ from linegrain.operators import cv
 from linegrain.operators import normalize as nz
 from linegrain.operators import perturb as pt
 from linegrain.operators import profiles as pf
+from linegrain.operators import runs as rn
 from linegrain.operators import scorecard as sc
 from linegrain.operators import similarity as sm
 from linegrain.operators import stats as st
@@ -137,11 +138,43 @@ def run_structural(
             "winner_model_id": F.lit(winner),
         }
     )
-    summary = cut(summary.withColumnsRenamed({"lines": "canonical_entries", "artifacts": "artifact_count"}))
+    best = combined.where("is_best_model = 1").select(F.col("overall_goodness_score").alias("best_model"))
+    summary = summary.withColumnsRenamed({"lines": "canonical_entries", "artifacts": "artifact_count"}).withColumns(
+        {
+            "run_id": F.lit(run_id),
+            "coverage": coverage.select("coverage_of_all_lines").scalar(),
+            "structural_confidence": scored.select("structural_confidence").scalar(),
+            "best_model": best.scalar(),
+        }
+    )
+    summary = cut(summary)
     sinks.write_summary(summary, root, run_id)
+    numbers = summary.withColumnsRenamed({"observations_all_sources": "observations", "winner_model_id": "best_model_label"})
+    sinks.write_table(rn.registry(numbers), root, "run_registry", run_id)
+    compare_with_baseline(spark, root, run_id)
     return summary
 
 
+def compare_with_baseline(spark: SparkSession, root: str, run_id: str) -> str | None:
+    """Picks the run to compare with, writes what changed since, and points ``latest_run`` at the last run.
+
+    A first run has no baseline and no delta. Only two runs are read beyond the
+    registry, which has some rows for each run.
+    """
+    known = sinks.read_table(spark, root, "run_registry")
+    imported = rn.registered(known, "external_rows_loaded")
+    latest = sinks.latest_run(known.select("run_id").distinct())
+    sinks.write_table(latest.select(F.col("run_id").alias("latest")), root, "latest_run", "pointer")
+    baseline = rn.pick_baseline(imported, run_id).first()["baseline_run"]
+    if baseline is None:
+        return None
+    delta = rn.delta_metrics(known, baseline, run_id).withColumn("baseline_run", F.lit(baseline))
+    sinks.write_table(delta, root, "run_delta", run_id)
+    shares = sinks.read_table(spark, root, "initial_position_frequency").where(F.col("run_id").isin(baseline, run_id))
+    sinks.write_table(rn.initial_share_gains(shares, baseline, run_id), root, "initial_share_gains", run_id)
+    return baseline
+
+
 def run_ingest(
     spark: SparkSession, raw: DataFrame, stored: DataFrame, known: DataFrame, root: str, run_id: str
 ) -> dict[str, DataFrame]:

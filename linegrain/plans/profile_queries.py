@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from linegrain.checks import corpus_sql as q
@@ -116,7 +118,12 @@ def seq_type_artifacts(spark, sf):
     return tp.sequence_type_artifacts(corpora.event_lines(spark, sf))
 
 
-def templates_sql(source: str, share: float) -> str:
+def templates_sql(source: str, share: float, tag: str = "") -> str:
+    """The tables of the templates of ``source``; ``tag`` ends their names, so that several can stand together."""
+    return re.sub(r"\b(sz|tpc|top|sl|tr|cv|tmpl)\b", rf"\1{tag}", _templates_sql(source, share))
+
+
+def _templates_sql(source: str, share: float) -> str:
     return f"""sz AS (SELECT len(signs) AS length, count(*) AS lines FROM {source} GROUP BY 1
       HAVING count(*) >= 2),
     tpc AS (SELECT length, position, token, count(*) AS n FROM (SELECT len(signs) AS length,

@@ -18,7 +18,7 @@ from linegrain.operators import stats as st
 from linegrain.operators import templates as tp
 from linegrain.operators import volumes as vo
 from linegrain.plans import perturb_queries as pq
-from linegrain.plans.model_queries import AGAINST, HOLDOUT, bakeoff_sql, holdout
+from linegrain.plans.model_queries import AGAINST, HOLDOUT, bakeoff_sql, holdout, pooled_sql
 from linegrain.plans.profile_queries import EVENT_SHARE, templates_sql
 from linegrain.plans.registry import query
 from linegrain.plans.source_queries import scratch_root
@@ -455,19 +455,52 @@ def run_pick_baseline(spark, sf):
     return rn.pick_baseline(runs, runs.agg(F.max("run_id")).first()[0])
 
 
+_COVERED = """(SELECT round(coalesce(sum(coverage * entries_in_length_group), 0) / greatest(1, (SELECT count(*) FROM {src})), 6)
+      FROM tmpl{tag})"""
+_BASE_COVERAGE, _NOW_COVERAGE = _COVERED.format(src="rn_base", tag="_b"), _COVERED.format(src="rn_now", tag="_c")
+_MEASURED = ", ".join(f"{c}::DOUBLE AS {c}" for c in ("observations", "canonical_entries", "artifact_count", "external_rows_loaded"))
+
+
 @query(
     "run_delta_metrics",
-    f"""WITH {RUNS}, m AS (UNPIVOT (SELECT run_id, observations::DOUBLE AS observations,
-        canonical_entries::DOUBLE AS canonical_entries, artifact_count::DOUBLE AS artifact_count
-        FROM runs) ON observations, canonical_entries, artifact_count INTO NAME metric VALUE v)
-    SELECT b.metric, b.v AS before, c.v AS after, c.v - b.v AS delta FROM m b
+    f"""WITH {RUNS}, {q.MODEL_KINDS},
+    rn_base AS (SELECT * FROM rl WHERE run_id = (SELECT baseline_run FROM base)),
+    rn_now AS (SELECT * FROM rl WHERE run_id = (SELECT run_id FROM cur)),
+    rn_in AS (SELECT run_id AS split, 'U' || user_id AS grp, signs FROM rn_base UNION ALL SELECT run_id, 'U' || user_id, signs FROM rn_now),
+    {q.cells("rn_own", "rn_in", ["split", "grp"])}, {q.leave_out("rn", "rn_own", ["grp"])},
+    best AS (SELECT split AS run_id, first(model ORDER BY round(mean_log_likelihood_per_token, 9) DESC, model) AS label,
+        max(round(mean_log_likelihood_per_token, 9)) AS v
+      FROM ({pooled_sql("rn")}) WHERE model IN ('unigram', 'first_bigram', 'position') GROUP BY split),
+    {templates_sql("rn_base", EVENT_SHARE, "_b")}, {templates_sql("rn_now", EVENT_SHARE, "_c")},
+    m AS (SELECT run_id, metric, v, NULL::VARCHAR AS label FROM (UNPIVOT (SELECT run_id, {_MEASURED} FROM runs)
+        ON observations, canonical_entries, artifact_count, external_rows_loaded INTO NAME metric VALUE v)
+      UNION ALL SELECT baseline_run, 'coverage', {_BASE_COVERAGE}, NULL FROM base
+      UNION ALL SELECT run_id, 'coverage', {_NOW_COVERAGE}, NULL FROM cur
+      UNION ALL SELECT run_id, 'best_model', v, label FROM best)
+    SELECT b.metric, round(b.v, 6) AS before, round(c.v, 6) AS after, round(c.v - b.v, 6) AS delta,
+      b.label AS before_label, c.label AS after_label FROM m b
     JOIN m c ON b.metric = c.metric AND b.run_id = (SELECT baseline_run FROM base)
       AND c.run_id = (SELECT run_id FROM cur)""",
 )
 def run_delta_metrics(spark, sf):
+    """Both runs are modelled as splits of one job; their templates are those of their own lines."""
     runs = cut(_runs(spark, sf))
     current, baseline = _current_and_baseline(runs)
-    return rn.delta_metrics(runs, baseline, current)
+    lines = cut(_run_lines(spark, sf).where(F.col("run_id").isin(baseline, current)))
+    grouped = lines.select(F.col("run_id").alias("split"), F.col("artifact_id").alias("grp"), "signs")
+    made = pt.md.cells(grouped, ["split", "grp"], pt.md.needed(cv.RANKED))
+    figure = F.round("mean_log_likelihood_per_token", 9)
+    best = cv.pooled(pt.md.leave_out(made, ["grp"], cv.RANKED)).groupBy(F.col("split").alias("run_id")).agg(
+        F.min_by("model", F.struct(-figure, "model")).alias("best_model_label"), F.max(figure).alias("best_model")
+    )
+    covered = None
+    for run in (baseline, current):
+        own = lines.where(F.col("run_id") == run)
+        row = tp.weighted_coverage(own, tp.templates(own, EVENT_SHARE))
+        row = row.select(F.lit(run).alias("run_id"), F.col("coverage_of_all_lines").alias("coverage"))
+        covered = row if covered is None else covered.unionByName(row)
+    known = runs.join(best, "run_id").join(covered, "run_id")
+    return cv.rounded(rn.delta_metrics(rn.registry(known), baseline, current))
 
 
 @query(
