@@ -6,6 +6,8 @@ score one corpus or many.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,30 @@ DESTRUCTIVE = ["shuffled_sequence_control", "randomized_sign_relabel_per_line"]
 GUARDS = ["cross_corpus_segmentation", "remove_20pct_external_random", *DESTRUCTIVE]
 
 
+# Hypotheses that are claimed, not measured, with their kind and confidence.
+CLAIMS = (("H-P1", "phonetic mapping", 18.0), ("H-M1", "semantic mapping", 29.0))
+
+
+def hypotheses(
+    pivots: DataFrame, stems: DataFrame, claims: Sequence[tuple[str, str, float]] = CLAIMS
+) -> DataFrame:
+    """(hypothesis_id, analysis_type, confidence_percent): the best pivot, the best stem, and what is claimed.
+
+    ``pivots`` and ``stems`` have a ``support``; without rows it is 0.
+    """
+
+    def best(rows: DataFrame, name: str) -> DataFrame:
+        return rows.agg(F.coalesce(F.max("support"), F.lit(0.0)).alias("confidence_percent")).select(
+            F.lit(name).alias("hypothesis_id"), F.lit("structural mapping").alias("analysis_type"), "confidence_percent"
+        )
+
+    found = best(pivots, "H-S1").unionByName(best(stems, "H-S2"))
+    if not claims:
+        return found
+    rows = [F.struct(*[F.lit(x).alias(c) for c, x in zip(found.columns, claim, strict=True)]) for claim in claims]
+    return found.unionByName(found.limit(1).select(F.inline(F.array(*rows))))
+
+
 def inputs(
     lines: DataFrame,
     flags: DataFrame,
@@ -38,11 +64,12 @@ def inputs(
     coverage: DataFrame,
     combined: DataFrame,
     suite: DataFrame,
-    confidences: tuple[float, float] = (0.0, 0.0),
+    supported: DataFrame,
 ) -> DataFrame:
     """The one-row input table of a corpus. ``lines`` needs ``origin_count``.
 
-    ``confidences`` are the best structural and the best semantic support.
+    ``supported`` has the hypotheses; the best structural and the best semantic
+    support are compared by the gate.
     """
     ll = F.col("mean_log_likelihood_per_token")
 
@@ -82,15 +109,20 @@ def inputs(
             "flag_count": flags.agg(F.count(F.lit(1))).scalar(),
             "event_count": events.agg(F.count(F.lit(1))).scalar(),
             "coverage": coverage.select("coverage_of_all_lines").scalar(),
+            "c": supported.agg(F.struct(_best_of("structural"), _best_of("semantic"))).scalar(),
         }
     )
     return row.select(
         "lines", "artifacts", "sources", "m.*", "t.*", "flag_count", "event_count", "coverage",
-        F.lit(confidences[0]).alias("structural_confidence"),
-        F.lit(confidences[1]).alias("semantic_confidence"),
+        "c.*",
     )
 
 
+def _best_of(kind: str) -> Column:
+    matching = F.when(F.startswith("analysis_type", F.lit(kind)), F.col("confidence_percent"))
+    return F.coalesce(F.max(matching), F.lit(0.0)).alias(f"{kind}_confidence")
+
+
 def _capped_ratio(value: str, full: float) -> Column:
     return F.least(F.lit(1.0), F.col(value) / full)
 

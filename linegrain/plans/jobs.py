@@ -121,9 +121,8 @@ def run_structural(
     }
     suite = write("stress_suite", pt.suite(work, winner, modes))
 
-    pivot = position.agg(F.max("support")).first()[0] or 0.0
-    stem = stems.where(F.col("stem") == STEM).agg(F.max("support")).first()[0] or 0.0
-    inputs = sc.inputs(work, flags, log, coverage, combined, suite, (max(pivot, stem), 0.0))
+    supported = write("hypotheses", sc.hypotheses(position, stems.where(F.col("stem") == STEM)))
+    inputs = sc.inputs(work, flags, log, coverage, combined, suite, supported)
     scored = cut(sc.scored(inputs))
     write("score_components", sc.components(scored))
     write("score_sensitivity", sc.weight_sweep(scored))

@@ -15,9 +15,14 @@ from linegrain.sources import corpora
 
 TOKEN, LENGTH, POSITION = "PURCHASE", 4, 3
 
-_SUBSET = f"""sub AS (SELECT len(list_filter(signs, lambda t: t = '{TOKEN}')) AS k,
-    signs[{POSITION}] = '{TOKEN}' AS hit FROM ev
-  WHERE len(signs) = {LENGTH} AND list_contains(signs, '{TOKEN}'))"""
+
+def subset_sql(source: str = "ev", token: str = TOKEN) -> str:
+    return f"""sub AS (SELECT len(list_filter(signs, lambda t: t = '{token}')) AS k,
+    signs[{POSITION}] = '{token}' AS hit FROM {source}
+  WHERE len(signs) = {LENGTH} AND list_contains(signs, '{token}'))"""
+
+
+_SUBSET = subset_sql()
 
 
 @query(
@@ -31,11 +36,11 @@ def test_position_expectation(spark, sf):
 
 
 # The tail by convolution: one binomial for each number of tokens in a line, summed over all splits of the hits.
-def tail_sql() -> str:
+def tail_sql(source: str = "ev", token: str = TOKEN) -> str:
     """One-row table ``tail`` with the chance of at least the observed hits; lines of LENGTH have one to four tokens."""
     chance = f"""exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / {LENGTH}::DOUBLE)
       + (n - j) * ln(1 - k / {LENGTH}::DOUBLE))"""
-    return f"""{_SUBSET},
+    return f"""{subset_sql(source, token)},
   ks AS (SELECT c.k, count(s.k) AS n FROM (SELECT unnest(range(1, {LENGTH} + 1)) AS k) c LEFT JOIN sub s ON s.k = c.k GROUP BY c.k),
   pmf AS (SELECT k, j, CASE WHEN k = {LENGTH} THEN (j = n)::INT::DOUBLE ELSE {chance} END AS p
     FROM (SELECT k, n, unnest(range(0, n + 1)) AS j FROM ks)),
@@ -60,14 +65,29 @@ def test_position_permutation(spark, sf):
     return tested.withColumn("p_value_ge_observed", F.round("p_value_ge_observed", 6))
 
 
-_STEMS = """stems AS (SELECT signs[1] || ' ' || signs[2] AS stem,
+def stems_sql(source: str = "ev") -> str:
+    return f"""stems AS (SELECT signs[1] || ' ' || signs[2] AS stem,
     array_to_string(signs, ' ') AS form, coalesce(signs[3], '<ZERO>') AS ending, artifact_id
-  FROM ev WHERE len(signs) >= 2),
+  FROM {source} WHERE len(signs) >= 2),
   stem_rows AS (SELECT stem, count(DISTINCT form) AS form_count,
     count(DISTINCT ending) AS ending_count, count(*) AS line_count,
     count(DISTINCT artifact_id) AS artifact_count FROM stems GROUP BY stem)"""
 
 
+_STEMS = stems_sql()
+
+
+def stem_support_sql(source: str = "ev") -> str:
+    return f"""round(least(78.0::DOUBLE, 100.0::DOUBLE *
+      (0.5::DOUBLE * least(1.0::DOUBLE, ending_count / 5.0::DOUBLE)
+      + 0.3::DOUBLE * (line_count / (SELECT count(*) FROM {source}))
+      + 0.2::DOUBLE * (artifact_count / (SELECT count(DISTINCT artifact_id) FROM {source})))), 6)"""
+
+
+PIVOT_SUPPORT = """round(least(84.0::DOUBLE, 100 * (0.45::DOUBLE * observed_count / greatest(1, observed_total)
+        + 0.3::DOUBLE * (1 - p_value_ge_observed) + 0.25::DOUBLE * least(1, observed_total / 12))), 6)"""
+
+
 @query("test_stem_endings", f"WITH {q.EV}, {_STEMS} SELECT * FROM stem_rows")
 def test_stem_endings(spark, sf):
     return st.stem_endings(corpora.event_lines(spark, sf))
@@ -94,11 +114,7 @@ def pivot_followers(spark, sf):
 
 @query(
     "support_scores",
-    f"""WITH {q.EV}, {_STEMS} SELECT stem, round(least(78.0::DOUBLE, 100.0::DOUBLE *
-      (0.5::DOUBLE * least(1.0::DOUBLE, ending_count / 5.0::DOUBLE)
-      + 0.3::DOUBLE * (line_count / (SELECT count(*) FROM ev))
-      + 0.2::DOUBLE * (artifact_count / (SELECT count(DISTINCT artifact_id) FROM ev)))), 6)
-      AS support FROM stem_rows""",
+    f"WITH {q.EV}, {_STEMS} SELECT stem, {stem_support_sql()} AS support FROM stem_rows",
 )
 def support_scores(spark, sf):
     return st.stem_support(cut(corpora.event_lines(spark, sf)))
@@ -108,8 +124,7 @@ def support_scores(spark, sf):
     "support_scores_pivot",
     f"""WITH {q.EV}, {tail_sql()} SELECT observed_total, observed_count, expected_mean_under_null,
       round(p_value_ge_observed, 6) AS p_value_ge_observed,
-      round(least(84.0::DOUBLE, 100 * (0.45::DOUBLE * observed_count / greatest(1, observed_total)
-        + 0.3::DOUBLE * (1 - p_value_ge_observed) + 0.25::DOUBLE * least(1, observed_total / 12))), 6) AS support FROM tail""",
+      {PIVOT_SUPPORT} AS support FROM tail""",
 )
 def support_scores_pivot(spark, sf):
     test = st.position_test(corpora.event_lines(spark, sf), TOKEN, LENGTH, POSITION)

@@ -18,7 +18,9 @@ from linegrain.operators import stats as st
 from linegrain.operators import templates as tp
 from linegrain.operators import volumes as vo
 from linegrain.plans import perturb_queries as pq
-from linegrain.plans.model_queries import AGAINST, HOLDOUT, bakeoff_sql, holdout, pooled_sql
+from linegrain.plans.model_queries import (
+    AGAINST, bakeoff_sql, HOLDOUT, holdout, LENGTH, PIVOT_SUPPORT, pooled_sql, POSITION, stem_support_sql, stems_sql, tail_sql,
+)
 from linegrain.plans.profile_queries import EVENT_SHARE, templates_sql
 from linegrain.plans.registry import query
 from linegrain.plans.source_queries import scratch_root
@@ -277,7 +279,8 @@ def ratio_clusters(spark, sf):
 # ---- scorecards -------------------------------------------------------------
 
 WINNER = "(SELECT model FROM comb2 WHERE is_best_model = 1)"
-SCORE = f"""{pq.SUITE_TABLES}, {bakeoff_sql("mode_strict")}, {pq.suite_sql(WINNER)},
+PIVOT = "AB22"
+SCORE = f"""{pq.SUITE_TABLES}, {tail_sql("mode_strict", PIVOT)}, {stems_sql("mode_strict")}, {bakeoff_sql("mode_strict")}, {pq.suite_sql(WINNER)},
   {templates_sql("mode_strict", EVENT_SHARE)},
   inp AS (SELECT (SELECT count(*) FROM mode_strict) AS lines,
       (SELECT count(DISTINCT artifact_id) FROM mode_strict) AS artifacts,
@@ -321,29 +324,28 @@ SCORE = f"""{pq.SUITE_TABLES}, {bakeoff_sql("mode_strict")}, {pq.suite_sql(WINNE
       AND out_of_sample_performance_score >= 0.7 AS strict_gate FROM sc0),
   sc2 AS (SELECT *, CASE WHEN strict_gate THEN raw_score ELSE least(raw_score, 84.99::DOUBLE) END
       AS gated FROM sc1),
-  sc3 AS (SELECT *, gated >= 85 AS guard_triggered,
-      gated >= 85 AND guard_delta <= -0.45 AS guard_collapse FROM sc2),
+  sup AS (SELECT greatest((SELECT {PIVOT_SUPPORT} FROM tail), (SELECT max({stem_support_sql("mode_strict")}) FROM stem_rows),
+      0) AS structural, {dict((k, v) for _, k, v in sc.CLAIMS)["semantic mapping"]}::DOUBLE AS semantic),
+  sc2s AS (SELECT *, semantic > structural AS semantic_stronger FROM sc2, sup),
+  sc3 AS (SELECT *, gated >= 85 OR semantic_stronger AS guard_triggered,
+      (gated >= 85 OR semantic_stronger) AND coalesce(guard_delta <= -0.45, false) AS guard_collapse FROM sc2s),
   scored AS (SELECT *, CASE WHEN guard_collapse THEN least(gated, 84.99::DOUBLE) ELSE gated END
       AS final_score FROM sc3)"""
 
-_SCORED: dict[tuple[str, str], object] = {}
-
 
 def scored_inputs(spark, sf):
-    """The scored one-row table of the coded corpus, computed once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SCORED:
-        strict = pq.mode_lines(spark, sf, "strict")
-        metrics = cut(st.alignment(st.structural_metrics(strict)))
-        combined = cut(cv.bakeoff(strict, metrics).where("cv_scheme = 'combined'"))
-        winner = combined.where("is_best_model = 1").first()["model"]
-        modes = {m: pq.mode_lines(spark, sf, m) for m in ("identity", "permissive")}
-        suite = cut(pt.suite(strict, winner, modes))
-        log = cut(nz.mapping_log(pq.coded_observations(spark, sf), pq.event_variants(spark)))
-        coverage = tp.weighted_coverage(strict, tp.templates(strict, EVENT_SHARE))
-        row = sc.inputs(strict, nz.flags(log), log, coverage, combined, suite)
-        _SCORED[key] = cut(sc.scored(row))
-    return _SCORED[key]
+    """The scored one-row table of the coded corpus, from the tables that it depends on."""
+    strict = pq.mode_lines(spark, sf, "strict")
+    metrics = cut(st.alignment(st.structural_metrics(strict)))
+    combined = cut(cv.bakeoff(strict, metrics).where("cv_scheme = 'combined'"))
+    winner = combined.where("is_best_model = 1").first()["model"]
+    modes = {m: pq.mode_lines(spark, sf, m) for m in ("identity", "permissive")}
+    suite = cut(pt.suite(strict, winner, modes))
+    log = cut(nz.mapping_log(pq.coded_observations(spark, sf), pq.event_variants(spark)))
+    coverage = tp.weighted_coverage(strict, tp.templates(strict, EVENT_SHARE))
+    pivot = st.pivot_support(st.position_test(strict, PIVOT, LENGTH, POSITION))
+    supported = sc.hypotheses(pivot, st.stem_support(strict))
+    return cut(sc.scored(sc.inputs(strict, nz.flags(log), log, coverage, combined, suite, supported)))
 
 
 _COMPONENTS = " UNION ALL ".join(
@@ -362,7 +364,7 @@ def score_components(spark, sf):
     "score_gate",
     f"""WITH {SCORE} SELECT lines, artifacts, round(raw_score, 6) AS raw_score,
       round(final_score, 6) AS final_score, strict_gate, final_score >= 85 AS threshold_85_reached,
-      false AS semantic_stronger, guard_triggered, guard_collapse,
+      semantic_stronger, guard_triggered, guard_collapse,
       round(CASE WHEN guard_triggered THEN guard_delta END, 6) AS guard_min_delta,
       array_to_string(list_filter([CASE WHEN lines < 80 THEN 'corpus_size' END,
         CASE WHEN artifacts < 12 THEN 'artifact_diversity' END,
