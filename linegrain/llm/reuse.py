@@ -46,7 +46,7 @@ _GEAR = np.random.default_rng(4_711).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = re.compile(f"[{WHITE}]+")
 
 REFS = "hash binary, key binary, start int, size int"
-RESULT = "key binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
+RESULT = "key binary, n_tokens long, ids_digest binary, decoded_digest binary"
 WHOLE = RESULT + ", ids array<int>, decoded string"
 
 
@@ -206,18 +206,18 @@ def _assemble(batches: Iterator[pa.RecordBatch], name: str, path: str | None, wh
         decoded = library.tokenizer.decode_batch(ids, skip_special_tokens=False)
         columns = [
             pa.array(keys, pa.binary()), pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([_sha(" ".join([numbers[i] for i in x])) for x in ids], pa.string()),
-            pa.array([_sha(x) for x in decoded], pa.string()),
+            pa.array([_sha(" ".join([numbers[i] for i in x])) for x in ids], pa.binary()),
+            pa.array([_sha(x) for x in decoded], pa.binary()),
         ]
-        names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
+        names = ["key", "n_tokens", "ids_digest", "decoded_digest"]
         if whole:
             columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             names += ["ids", "decoded"]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def _sha(text: str) -> bytes:
+    return hashlib.sha256(text.encode()).digest()
 
 
 def encode_decode(
@@ -245,4 +245,6 @@ def encode_decode(
         lambda b: _assemble(b, vocabulary, path, whole), WHOLE if whole else RESULT
     )
     results = pinned(made, "encoded-texts")
-    return named.select("doc_id", "_key").join(results, F.col("_key") == F.col("key")).drop("_key", "key")
+    shown = [F.lower(F.hex(f"{c}_digest")).alias(f"{c}_sha256") for c in ("ids", "decoded")]
+    met = named.select("doc_id", "_key").join(results, F.col("_key") == F.col("key"))
+    return met.select("doc_id", "n_tokens", *shown, *(["ids", "decoded"] if whole else []))

@@ -39,7 +39,7 @@ SELECTORS = ((1, 60), (2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (7, 8), (8, 7
 ZEROS = 14
 ESCAPE = 15
 #: A block is closed when it holds so many ids.
-BLOCK_IDS = 1 << 15
+BLOCK_IDS = 1 << 17
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 
@@ -144,7 +144,7 @@ def unpack(words: np.ndarray, escapes: np.ndarray, lasts: np.ndarray, n_ids: np.
     for s, (bits, most) in enumerate(SELECTORS):
         which = np.flatnonzero(selector == s)
         mask = np.uint64((1 << bits) - 1)
-        for k in range(most):
+        for k in range(most if len(which) else 0):
             inside = which[count[which] > k]
             ids[begin[inside] + k] = (body[inside] >> np.uint64(bits * k)) & mask
     out = np.flatnonzero(selector == ESCAPE)

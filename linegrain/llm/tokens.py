@@ -36,7 +36,17 @@ _CUTS = {
         f" ?[{_LATIN}]+| ?[0-9]+| ?[{_SIGNS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+",
     ),
 }
-_IS_ODD = re.compile(_ODD).search
+_HAS_ODD = re.compile(_ODD).search
+_ODD_ASCII = "'|\x1c\x1d\x1e\x1f\x7f"
+
+
+def _is_odd(text: str) -> bool:
+    """Whether a text has a chunk that must stay whole."""
+    if text.isascii():
+        return any(c in text for c in _ODD_ASCII)
+    return _HAS_ODD(text) is not None
+
+
 _LOWER = {"word_bpe_49k.json"}
 _RUN = re.compile(f" ?(?:[{_LATIN}]+|[0-9]+|[{_SIGNS}]+)").fullmatch
 #: A special token of both vocabularies, which ends whatever stands before it.
@@ -106,7 +116,7 @@ class Encoder:
         """The ids of all texts after each other, and how many each text has."""
         if len(self.known) > self.keep:
             self._forget()
-        parts = [(self.parts if _IS_ODD(t) else self.runs)(t) if t else [] for t in texts]
+        parts = [(self.parts if _is_odd(t) else self.runs)(t) if t else [] for t in texts]
         flat = list(chain.from_iterable(parts))
         numbers = list(map(self.known.get, flat))
         long: list[str] = []
