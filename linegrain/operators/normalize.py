@@ -16,6 +16,8 @@ MODES = ("identity", "strict", "permissive")
 CERTAIN = ["exact", "high", "canonical", "strict"]
 LOW_CONFIDENCE = 0.80
 LINE_KEY = ["artifact_id", "canonical_sequence", "quantity_key"]
+#: Changed tokens that a map inside an expression may have; it is searched once a token.
+MAP_ENTRIES = 256
 
 
 def resolve(variants: DataFrame, modes: Sequence[str] = ("strict",)) -> DataFrame:
@@ -131,23 +133,50 @@ def flags(log: DataFrame) -> DataFrame:
     )
 
 
-def observation_view(
-    observations: DataFrame, variants: DataFrame, modes: Sequence[str] = ("strict",)
-) -> DataFrame:
-    """Observations with raw and canonical tokens, one row per observation and mode.
+def _rewritten(observations: DataFrame, variants: DataFrame, modes: Sequence[str]) -> DataFrame:
+    """(mode, observation columns, signs): the canonical tokens of every observation that has tokens.
 
-    The tokens of an observation are exploded and put together again in the
-    same task order, so partial aggregation leaves one row per line to shuffle.
+    A variant map that changes few tokens becomes a literal map, and lines are
+    rewritten where they are. A larger one is joined to the tokens, and they
+    are put together again in one shuffle that carries the observation along.
     """
-    log = mapping_log(observations, variants, modes)
-    ordered = F.array_sort(F.collect_list(F.struct("token_index", "canonical_sign")))
-    signs = log.groupBy("mode", "observation_id").agg(
-        F.array_join(F.transform(ordered, lambda t: t["canonical_sign"]), " ").alias(
-            "canonical_sequence"
-        )
+    resolved = resolve(variants, modes).where(F.col("to_sign").isNotNull() & (F.col("to_sign") != F.col("original_sign")))
+    some = resolved.select("mode", "original_sign", "to_sign").limit(MAP_ENTRIES + 1).collect()
+    signs = tx.tokens(F.col("sign_sequence"))
+    held = observations.withColumn("_signs", signs).where(F.size("_signs") > 0)
+    if len(some) <= MAP_ENTRIES:
+
+        def mapped(mode: str) -> Column:
+            pairs = [F.lit(x) for r in some if r["mode"] == mode for x in (r["original_sign"], r["to_sign"])]
+            if not pairs:
+                return F.col("_signs")
+            return F.transform("_signs", lambda t: F.coalesce(F.create_map(*pairs)[t], t))
+
+        each = F.array(*[F.struct(F.lit(m).alias("mode"), mapped(m).alias("signs")) for m in modes])
+        return held.select(*observations.columns, F.inline(each))
+    tokens = held.select("*", F.posexplode("_signs").alias("_at", "original_sign"), F.lit(list(modes)).alias("_modes"))
+    tokens = tokens.withColumn("mode", F.explode("_modes")).drop("_signs", "_modes")
+    joined = tokens.join(cut(resolved.select("mode", "original_sign", "to_sign")), ["mode", "original_sign"], "left")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("_at"), F.coalesce("to_sign", "original_sign").alias("t"))))
+    rest = [c for c in observations.columns if c != "observation_id"]
+    return joined.groupBy("mode", "observation_id").agg(
+        *[F.any_value(c).alias(c) for c in rest], F.transform(ordered, lambda x: x["t"]).alias("signs")
     )
+
+
+def line_key() -> Column:
+    """256 bits that stand for a line: sequences may be long, and every join of lines goes by this."""
+    parts = [F.coalesce(F.col(c), F.lit("-")) for c in LINE_KEY]
+    framed = F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts])
+    return F.unhex(F.sha2(framed, 256))
+
+
+def observation_view(
+    observations: DataFrame, variants: DataFrame, modes: Sequence[str] = ("strict",)
+) -> DataFrame:
+    """Observations with raw and canonical tokens, one row per observation and mode."""
     surface = F.col("sign_sequence")
-    return observations.join(signs, "observation_id").select(
+    view = _rewritten(observations, variants, modes).select(
         "mode",
         "observation_id",
         "source_id",
@@ -158,12 +187,13 @@ def observation_view(
         surface.alias("sequence_surface"),
         "quantity",
         F.array_join(tx.tokens(surface), " ").alias("signs_raw"),
-        "canonical_sequence",
+        F.array_join("signs", " ").alias("canonical_sequence"),
         F.array_join(tx.groups(surface), " ").alias("groups_raw"),
         "provenance",
         "notes",
         F.coalesce(F.col("quantity").cast("string"), F.lit("")).alias("quantity_key"),
     )
+    return view.withColumn("line_key", line_key())
 
 
 def canonical_lines(view: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -173,7 +203,8 @@ def canonical_lines(view: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     one partial row per task.
     """
     first = F.struct("sequence_surface", "signs_raw", "groups_raw")
-    rolled = view.groupBy(*extra, *LINE_KEY).agg(
+    rolled = view.groupBy(*extra, "line_key").agg(
+        *[F.any_value(c).alias(c) for c in LINE_KEY],
         F.first("quantity").alias("quantity"),
         F.min_by(first, "observation_id").alias("f"),
         F.count(F.lit(1)).alias("origin_count"),
@@ -181,6 +212,7 @@ def canonical_lines(view: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     )
     return rolled.select(
         *extra,
+        "line_key",
         *LINE_KEY,
         "quantity",
         F.col("f.sequence_surface").alias("sequence_surface"),
@@ -203,11 +235,9 @@ def with_line_ids(lines: DataFrame) -> DataFrame:
 
 def provenance_links(view: DataFrame, lines: DataFrame) -> DataFrame:
     """(line, observation) pairs, with the observation's provenance and notes."""
-    ids = lines.select(*LINE_KEY, "canonical_line_id")
-    pairs = view.select(*LINE_KEY, "observation_id", "provenance", "notes")
-    return pairs.join(ids, LINE_KEY, "inner").select(
-        "canonical_line_id", "observation_id", "provenance", "notes"
-    )
+    ids = lines.select("line_key", "canonical_line_id")
+    pairs = view.select("line_key", "observation_id", "provenance", "notes")
+    return pairs.join(ids, "line_key").drop("line_key")
 
 
 def manifest_lists(links: DataFrame) -> DataFrame:
@@ -224,41 +254,42 @@ def manifest_lists(links: DataFrame) -> DataFrame:
 SEPARATORS = {"provenance_tags": ",", "notes": " | "}
 
 
-def list_cell(lists: DataFrame, field: str, whole: bool = False) -> DataFrame:
-    """(canonical_line_id, ``field``): the first page of each line's list, or all of it."""
-    found = lists.where(F.col("field") == field)
-    found = whole_lists(found, ["canonical_line_id"], SEPARATORS[field]) if whole else found.where(F.col("page") == 0)
+def list_cell(lists: DataFrame, field: str) -> DataFrame:
+    """(canonical_line_id, ``field``): the pages of each line's list put together again."""
+    found = whole_lists(lists.where(F.col("field") == field), ["canonical_line_id"], SEPARATORS[field])
     return found.select("canonical_line_id", F.col("items").alias(field))
 
 
-def manifest(lines: DataFrame, lists: DataFrame, whole: bool = False) -> DataFrame:
-    """One row per line. List cells hold their first page, the others being in ``lists``, or all if ``whole``."""
-
-    def cell(field: str) -> DataFrame:
-        return list_cell(lists, field, whole)
-
-    return (
-        lines.join(cell("provenance_tags"), "canonical_line_id", "left")
-        .join(cell("notes"), "canonical_line_id", "left")
-        .select(
-            "canonical_line_id",
-            "artifact_id",
-            "quantity",
-            "sequence_surface",
-            "canonical_sequence",
-            F.size("signs").alias("sign_count"),
-            F.size(F.split("groups_raw", " ")).alias("group_count"),
-            "origin_count",
-            "source_kinds",
-            F.coalesce("provenance_tags", F.lit("")).alias("provenance_tags"),
-            F.coalesce("notes", F.lit("")).alias("notes"),
-        )
+def list_cells(links: DataFrame) -> DataFrame:
+    """(canonical_line_id, provenance_tags, notes): whole lists; a cell is as long as its list."""
+
+    def cell(values: Column, field: str) -> Column:
+        return F.array_join(F.array_sort(F.collect_set(values)), SEPARATORS[field]).alias(field)
+
+    return links.groupBy("canonical_line_id").agg(
+        cell(F.col("provenance"), "provenance_tags"), cell(F.when(F.col("notes") != "", F.col("notes")), "notes")
+    )
+
+
+def manifest(lines: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per line, with all its provenance tags and notes."""
+    return lines.join(list_cells(links), "canonical_line_id", "left").select(
+        "canonical_line_id",
+        "artifact_id",
+        "quantity",
+        "sequence_surface",
+        "canonical_sequence",
+        F.size("signs").alias("sign_count"),
+        F.size(F.split("groups_raw", " ")).alias("group_count"),
+        "origin_count",
+        "source_kinds",
+        F.coalesce("provenance_tags", F.lit("")).alias("provenance_tags"),
+        F.coalesce("notes", F.lit("")).alias("notes"),
     )
 
 
-def canonical_corpus(lines: DataFrame, lists: DataFrame, whole: bool = False) -> DataFrame:
-    tags = list_cell(lists, "provenance_tags", whole)
-    return lines.join(tags, "canonical_line_id", "left").select(
+def canonical_corpus(lines: DataFrame, links: DataFrame) -> DataFrame:
+    return lines.join(list_cells(links).drop("notes"), "canonical_line_id", "left").select(
         "entry_id",
         "canonical_line_id",
         "artifact_id",

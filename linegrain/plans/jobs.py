@@ -80,12 +80,13 @@ def run_structural(
     found = nz.normalize(observations, variants, mode)
     log = write("mapping_log", nz.mapping_log(observations, variants, (mode,)))
     flags = write("uncertainty_flags", nz.flags(log))
-    lines = write("canonical_lines", found["lines"])
-    lists = write("manifest_lists", found["lists"])
-    write("provenance_links", found["links"].select("canonical_line_id", "observation_id"))
-    write("observation_view", found["view"])
-    write("corpus_manifest", nz.manifest(lines, lists, whole=True))
-    write("canonical_corpus", nz.canonical_corpus(lines, lists, whole=True))
+    lines = write("canonical_lines", found["lines"].drop("line_key"))
+    links = cut(found["links"])
+    write("manifest_lists", nz.manifest_lists(links))
+    write("provenance_links", links.select("canonical_line_id", "observation_id"))
+    write("observation_view", found["view"].drop("line_key"))
+    write("corpus_manifest", nz.manifest(lines, links))
+    write("canonical_corpus", nz.canonical_corpus(lines, links))
     write("variant_collisions", nz.variant_collisions(log))
     write("normalization_summary", nz.flag_summary(log, flags))
 
@@ -213,7 +214,7 @@ def run_deep_validation(spark: SparkSession, root: str, run_id: str) -> dict[str
     """Attribute holdouts, in-sample stress, inventories and tiers over a structural run."""
     lines = sinks.read_table(spark, root, "canonical_lines", run_id)
     tags = sinks.read_table(spark, root, "manifest_lists", run_id)
-    tags = nz.list_cell(tags, "provenance_tags", whole=True).withColumnRenamed("provenance_tags", "provenance")
+    tags = nz.list_cell(tags, "provenance_tags").withColumnRenamed("provenance_tags", "provenance")
     base = lines.join(tags, "canonical_line_id", "left").select(
         F.col("canonical_line_id").alias("line_id"), "artifact_id", "signs", "quantity", "provenance"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,16 +37,25 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV with a header, all strings; a missing file is an empty table."""
-    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+def read_csv(
+    spark: SparkSession, path: str, columns: list[str], required: Sequence[str] = (), quoted_newlines: bool = False
+) -> DataFrame:
+    """A CSV with a header, all strings; a missing file is an empty table.
+
+    Of ``columns``, those that the file lacks are NULL, unless they are
+    ``required``. A file is read in as many tasks as it has splits. Only if
+    values may hold line ends inside quotes must each file be one task: ask for
+    that by ``quoted_newlines``.
+    """
+    reader = spark.read.option("escape", '"').option("multiLine", quoted_newlines)
     try:
-        found = spark.read.option("multiLine", True).option("escape", '"').csv(path, header=True)
+        found = reader.csv(path, header=True)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return empty
-    return found
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+    require_columns(found, list(required))
+    return found.withColumns({c: F.lit(None).cast("string") for c in columns if c not in found.columns})
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +83,7 @@ def variant_map(rows: DataFrame) -> DataFrame:
 
 
 def read_variant_map(spark: SparkSession, path: str) -> DataFrame:
-    return variant_map(read_csv(spark, path, VARIANT_COLUMNS))
+    return variant_map(read_csv(spark, path, VARIANT_COLUMNS, ["variant"]))
 
 
 def _with_sequence(df: DataFrame, line: Column) -> DataFrame:
@@ -211,6 +222,13 @@ def number_observations(df: DataFrame, order: list[str], start: int = 1) -> Data
     return numbered.withColumn("observation_id", label).drop("_n")
 
 
+def read_external_rows(spark: SparkSession, path: str, quoted_newlines: bool = False) -> DataFrame:
+    """Imported rows of a CSV with ``row_number``, their place in it from 1 on; optional columns may be missing."""
+    need = ["artifact_id", "line_id", "sign_sequence"]
+    rows = read_csv(spark, path, EXTERNAL_COLUMNS, need, quoted_newlines)
+    return ordered_index(rows.withColumn("_at", F.monotonically_increasing_id()), ["_at"], "row_number").drop("_at")
+
+
 def external_observations(rows: DataFrame, row_no: str) -> DataFrame:
     """Imported rows as observations; ``row_no`` is the row's place in its file."""
     require_columns(rows, ["artifact_id", "line_id", "sign_sequence"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from linegrain.operators import perturb as pt
 from linegrain.operators import validate as va
 from linegrain.plans import jobs
 from linegrain.sources import files, pages, sinks
@@ -85,6 +86,35 @@ def test_missing_files_and_columns(spark):
         files.external_observations(spark.createDataFrame([("a",)], "artifact_id string"), "n")
 
 
+def test_csv_is_split_unless_lines_may_be_quoted(spark, tmp_path):
+    path = str(tmp_path / "rows.csv")
+    with open(path, "w") as f:
+        f.write("artifact_id,line_id,sign_sequence,notes\n")
+        for i in range(20_000):
+            f.write(f'HT {i},l{i},"KU, RO","said ""{i}"""\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        plain = files.read_csv(spark, path, files.EXTERNAL_COLUMNS)
+        assert plain.rdd.getNumPartitions() > 4
+        assert files.read_csv(spark, path, [], quoted_newlines=True).rdd.getNumPartitions() == 1
+        rows = files.read_external_rows(spark, path)
+        got = rows.orderBy("row_number").select("row_number", "artifact_id", "sign_sequence", "notes", "provenance").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [tuple(r) for r in got] == [(i + 1, f"HT {i}", "KU, RO", f'said "{i}"', None) for i in range(20_000)]
+    assert files.external_observations(rows, "row_number").count() == 20_000
+    broken = tmp_path / "lines.csv"
+    broken.write_text('artifact_id,line_id,sign_sequence\nHT 1,l1,"KU\nRO"\n')
+    (row,) = files.read_external_rows(spark, str(broken), quoted_newlines=True).collect()
+    assert row["sign_sequence"] == "KU\nRO"
+    (tmp_path / "map.csv").write_text("variant,canonical\nra,ra2\n")
+    (entry,) = files.read_variant_map(spark, str(tmp_path / "map.csv")).collect()
+    assert (entry["variant"], entry["canonical"], entry["status"], entry["confidence"]) == ("RA", "RA2", "exact", 1.0)
+    (tmp_path / "bad.csv").write_text("canonical\nx\n")
+    with pytest.raises(ValueError, match="variant"):
+        files.read_variant_map(spark, str(tmp_path / "bad.csv"))
+
+
 def test_structural_run_and_deep_validation(spark, tmp_path):
     rows = [
         (f"OBS_{i:06d}", "f", "html_original" if i % 2 else "external_csv", a, str(i), i, " ".join(s), q, f"p{i}", "")
@@ -106,6 +136,16 @@ def test_structural_run_and_deep_validation(spark, tmp_path):
     assert 0 < summary["final_score"] <= 84.99
     links = sinks.read_table(spark, str(tmp_path), "provenance_links")
     assert links.count() == 44
+    assert (tmp_path / "run_delta").exists() is False
+    own = obs.where("source_kind = 'html_original'")
+    jobs.run_structural(spark, own, variants, str(tmp_path), "2026-01-02_0000")
+    delta = {r["metric"]: r for r in sinks.read_table(spark, str(tmp_path), "run_delta").collect()}
+    assert delta["observations"]["before"] == 44 and delta["observations"]["after"] == own.count()
+    assert delta["best_model"]["before_label"] in pt.cv.RANKED and delta["coverage"]["delta"] is not None
+    assert delta["observations"]["baseline_run"] == "2026-01-01_0000"
+    assert {"final_score", "structural_confidence", "artifact_count"} <= delta.keys()
+    assert sinks.read_table(spark, str(tmp_path), "latest_run").first()["latest"] == "2026-01-02_0000"
+    assert sinks.read_table(spark, str(tmp_path), "initial_share_gains", "2026-01-02_0000").columns[0] == "sign"
     suite = sinks.read_table(spark, str(tmp_path), "stress_suite").collect()
     relabel = next(r for r in suite if r["test_name"] == "randomized_sign_relabel_global")
     assert relabel["delta_log_likelihood"] == pytest.approx(0, abs=1e-9)
