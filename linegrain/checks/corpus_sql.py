@@ -29,6 +29,12 @@ def quantity(x: str) -> str:
     return f"TRY_CAST(regexp_extract({collapse(x)}, '{QUANTITY}', 2) AS BIGINT)"
 
 
+def digits(x: str) -> str:
+    s = collapse(x)
+    found = f"coalesce(nullif(ltrim(regexp_extract({s}, '{QUANTITY}', 2), '0'), ''), '0')"
+    return f"CASE WHEN regexp_matches({s}, '{QUANTITY}') THEN {found} END"
+
+
 def clean(x: str) -> str:
     s = rf"regexp_replace({x}, '(?i)<br\s*/?>', ' ', 'g')"
     s = f"regexp_replace({s}, '(?i)</?(?:sub|sup)[^>]*>', '', 'g')"

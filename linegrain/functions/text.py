@@ -44,6 +44,12 @@ def quantity_part(text: Column) -> Column:
     return _last_number(collapse(text)).try_cast("bigint")
 
 
+def quantity_digits(text: Column) -> Column:
+    """The closing stand-alone number as digits, however many, without leading zeros; NULL when there is none."""
+    digits = _last_number(collapse(text))
+    return F.when(digits.isNotNull(), F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0")))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.upper(text), F.lit(TOKEN), 0)
 

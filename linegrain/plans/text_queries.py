@@ -25,7 +25,7 @@ def _over_lines(expr: str) -> str:
 
 @query(
     "fn_split_quantity",
-    _over_lines(f"{q.surface('line')} AS surface, {q.quantity('line')} AS quantity"),
+    _over_lines(f"{q.surface('line')} AS surface, {q.quantity('line')} AS quantity, {q.digits('line')} AS digits"),
 )
 def fn_split_quantity(spark, sf):
     line = F.col("line")
@@ -34,6 +34,7 @@ def fn_split_quantity(spark, sf):
         "line_no",
         tx.surface_part(line).alias("surface"),
         tx.quantity_part(line).alias("quantity"),
+        tx.quantity_digits(line).alias("digits"),
     )
 
 
