@@ -88,7 +88,7 @@ class _Table:
 class Encoder:
     """Ids of texts, ``add_special_tokens=False``; remembers the parts that it has met."""
 
-    def __init__(self, name: str, keep: int = 400_000, path: str | None = None):
+    def __init__(self, name: str, keep: int = 250_000, path: str | None = None):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
