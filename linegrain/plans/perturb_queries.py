@@ -292,18 +292,19 @@ def pert_largest_drop(spark, sf):
     return cv.rounded(pt.largest_drop(coded_suite(spark, sf)))
 
 
-def _in_sample_sql() -> str:
+def in_sample_sql(tables: str = q.EV, src: str = "ev") -> str:
+    """Tables up to ``insample``, for the lines ``src`` of ``tables``."""
     wanted = " ".join(f"WHEN '{n}' THEN '{e}'" for n, e in pt.IN_SAMPLE.items())
     free = """model = 'unigram' AND test_name
       <> 'global_label_permutation_scored_against_original'"""
-    return f"""{q.EV}, {q.MODEL_KINDS}, {vocab_sql("ev")}, {RELABEL}, {SHUFFLE},
+    return f"""{tables}, {q.MODEL_KINDS}, {vocab_sql(src)}, {RELABEL}, {SHUFFLE},
   {redraw_sql("c_map", 0.2, SEED)}, {redraw_sql("f_map", 1.0, SEED + 1)},
-  is_in AS (SELECT 'baseline' AS test_name, signs FROM ev
+  is_in AS (SELECT 'baseline' AS test_name, signs FROM {src}
     UNION ALL SELECT 'within_line_shuffle', signs FROM s_map
     UNION ALL SELECT 'random_20pct_token_corruption', signs FROM c_map
     UNION ALL SELECT 'length_preserving_frequency_sample', signs FROM f_map
     UNION ALL SELECT 'global_label_permutation_scored_against_original', signs FROM g_map),
-  {q.cells("tr", "ev", [])}, {q.cells("te", "is_in", ["test_name"])},
+  {q.cells("tr", src, [])}, {q.cells("te", "is_in", ["test_name"])},
   {q.transfer("isr", "tr", "te", ["test_name"])},
   per AS (SELECT test_name, model, ll / tokens AS ll FROM isr JOIN isr_z USING (test_name)
     WHERE model <> 'first_bigram'),
@@ -318,7 +319,7 @@ def _in_sample_sql() -> str:
 
 @query(
     "pert_scoreboard_insample",
-    f"""WITH {_in_sample_sql()} SELECT test_name, model, round(base, 6) AS baseline_ll_per_token,
+    f"""WITH {in_sample_sql()} SELECT test_name, model, round(base, 6) AS baseline_ll_per_token,
       round(ll, 6) AS perturbed_ll_per_token, round(delta, 6) AS delta_ll_per_token,
       round(exp(-base), 6) AS baseline_perplexity, round(exp(-ll), 6) AS perturbed_perplexity,
       expected_behavior, passed FROM insample""",

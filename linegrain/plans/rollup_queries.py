@@ -407,8 +407,35 @@ def score_weight_sweep(spark, sf):
     return sc.weight_sweep(scored_inputs(spark, sf))
 
 
-# The parts of the tiers come from several other checked queries; no single SQL repeats them all.
-@query("score_bands")
+def _bands_sql() -> str:
+    """The tiers, from the tables of four other queries, each in a scope of its own."""
+    tiers = {
+        "corpus_adequacy_confidence": "corpus", "normalization_confidence": "norm", "structural_script_confidence": "structure",
+        "template_predictability_confidence": "template", "out_of_sample_prediction_confidence": "oos",
+        "overall_structural_confidence": "overall",
+    }
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS tier, greatest(0.0::DOUBLE, least(99.0::DOUBLE, 100 * {c})) AS score FROM t3" for n, c in tiers.items())
+    return f"""WITH s AS (WITH {SCORE} SELECT normalization_stability_score AS stability,
+      template_predictability_score AS template, adversarial_robustness_score AS robustness FROM scored),
+  o AS (WITH {pq.in_sample_sql(q.CODED, "coded")} SELECT min(delta) AS order_drop FROM insample
+    WHERE test_name = 'within_line_shuffle' AND model <> 'unigram'),
+  g AS (WITH {HOLDOUT} SELECT avg(round(gain, 6)) AS gain FROM ({AGAINST}) WHERE model <> 'unigram'),
+  b AS (WITH {q.ATTRS} SELECT count(*) AS lines, count(DISTINCT artifact_id) AS artifacts, count(DISTINCT site) AS sites,
+      count(*) FILTER (coalesce(provenance, '') <> '') / greatest(1, count(*)) AS provenance_share,
+      sum(len(list_filter(signs, lambda t: contains(t, '[?]')))) / greatest(1, sum(len(signs))) AS unknown_rate FROM attrs),
+  t1 AS (SELECT *, greatest(0, least(1, 0.5::DOUBLE + coalesce(gain, 0) / 1.2::DOUBLE)) AS oos,
+      greatest(0, least(1, abs(coalesce(order_drop, 0)) / 0.65::DOUBLE)) AS ordered,
+      0.3::DOUBLE * least(1, lines / 2500) + 0.25::DOUBLE * least(1, artifacts / 600) + 0.2::DOUBLE * provenance_share
+        + 0.15::DOUBLE * least(1, sites / 20) + 0.1::DOUBLE * (1 - least(0.5::DOUBLE, unknown_rate)) AS corpus,
+      greatest(0, least(1, stability - unknown_rate)) AS norm FROM s, o, g, b),
+  t2 AS (SELECT *, 0.35::DOUBLE * oos + 0.3::DOUBLE * ordered + 0.2::DOUBLE * robustness + 0.15::DOUBLE * template AS structure FROM t1),
+  t3 AS (SELECT *, 0.25::DOUBLE * corpus + 0.2::DOUBLE * norm + 0.25::DOUBLE * structure + 0.15::DOUBLE * template
+      + 0.15::DOUBLE * oos AS overall FROM t2)
+  SELECT tier, round(score, 2) AS confidence_percent, CASE WHEN score >= 85 THEN 'high' WHEN score >= 70 THEN 'medium-high'
+    WHEN score >= 50 THEN 'medium' WHEN score >= 25 THEN 'low' ELSE 'very low' END AS label FROM ({rows})"""
+
+
+@query("score_bands", _bands_sql())
 def score_bands(spark, sf):
     lines = cut(cl.attributes(corpora.coded_lines(spark, sf)))
     held = cv.against_baseline(cv.attribute_holdout(lines))
