@@ -230,7 +230,9 @@ def encode_decode(
     slim = named.select("_key", "_text")
     refs = pinned(slim.mapInArrow(lambda b: _cuts(b, bits), REFS), "chunk-places")
     place = F.struct("key", "start", "size")
-    shared = refs.groupBy("hash").agg(F.min(place).alias("home"), F.max(place).alias("other")).where("home <> other")
+    # Two places differ if their hashes do; should two hashes be equal, a chunk would only not count as shared.
+    at = F.xxhash64("key", "start")
+    shared = refs.groupBy("hash").agg(F.min(place).alias("home"), F.min(at).alias("least"), F.max(at).alias("most")).where("least <> most")
     homes = shared.groupBy(F.col("home.key").alias("_key")).agg(
         F.collect_list(F.struct(F.col("home.start").alias("start"), F.col("home.size").alias("size"), "hash")).alias("homes")
     )
