@@ -41,6 +41,8 @@ VOCABULARY = "word_bpe_49k.json"
 WINDOW, BITS = 16, 10
 #: Shorter chunks are not worth joining.
 LEAST = 128
+#: Parts that a worker remembers, some 400 MB; two workers and the JVM share an executor.
+KEEP = 250_000
 _BLOCK = 1 << 20
 _GEAR = np.random.default_rng(4_711).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = re.compile(f"[{WHITE}]+")
@@ -93,7 +95,7 @@ def _cuts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
 
 
 def _encode_homes(batches: Iterator[pa.RecordBatch], name: str, path: str | None) -> Iterator[pa.RecordBatch]:
-    library = encoder(name, path)
+    library = encoder(name, path, KEEP)
     for part in steps(batches, "_text"):
         hashes, chunks = [], []
         for text, homes in zip(part.column("_text").to_pylist(), part.column("homes").to_pylist(), strict=True):
@@ -195,7 +197,7 @@ def _runs(coded: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]
 
 
 def _assemble(batches: Iterator[pa.RecordBatch], name: str, path: str | None, whole: bool) -> Iterator[pa.RecordBatch]:
-    library = encoder(name, path)
+    library = encoder(name, path, KEEP)
     numbers = [str(i) for i in range(library.tokenizer.get_vocab_size())]
     for part in steps(batches, "_text"):
         keys, texts = part.column("_key").to_pylist(), part.column("_text").to_pylist()

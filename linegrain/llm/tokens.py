@@ -88,7 +88,7 @@ class _Table:
 class Encoder:
     """Ids of texts, ``add_special_tokens=False``; remembers the parts that it has met."""
 
-    def __init__(self, name: str, keep: int = 250_000, path: str | None = None):
+    def __init__(self, name: str, keep: int = 600_000, path: str | None = None):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -170,9 +170,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str, path: str | None = None) -> Encoder:
+def encoder(name: str, path: str | None = None, keep: int = 600_000) -> Encoder:
     """The encoder of this Python worker, which keeps what it has learned from one task to the next."""
-    return Encoder(name, path=path)
+    return Encoder(name, keep, path)
 
 
 def with_ends(ids: np.ndarray, counts: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
