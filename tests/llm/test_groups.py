@@ -49,6 +49,33 @@ def test_near_chain_and_shared_line(spark, monkeypatch, short, limit):
     assert found == want
 
 
+def edited(n: int, words: int, seed: int) -> list[tuple[int, str]]:
+    """Copies of one text with one to fifteen edits of their own, some copied once more."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        text = list(base if i % 4 else out[-1][1].split() if out else base)
+        for _ in range(rng.randrange(1, 16)):
+            text[rng.randrange(words)] = f"e{rng.randrange(300)}"
+        out.append((i, " ".join(text)))
+    return out
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_group_of_edited_copies(spark, monkeypatch, exact):
+    monkeypatch.setattr(neardup, "PAIRS_PER_POSTING", 1_000_000)  # full sets after one turn of stars
+    docs = edited(150, 100, 5) + [(1_000 + i, t) for i, t in drifting(30, 60, 3)]
+    want = brute.near_components(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = {
+        r.doc_id: (r.n_shingles, r.component_id)
+        for r in neardup.near_duplicates(frame, shingle=2, exact=exact).collect()
+    }
+    assert found == want
+    assert 1 < len({c for i, (_, c) in want.items() if i < 1_000}) < 150
+
+
 def test_near_edge_rows(spark, edge):
     found = neardup.near_duplicates(edge).collect()
     assert len(found) == len(brute.EDGE)
