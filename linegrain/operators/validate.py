@@ -26,14 +26,19 @@ def prepare(rows: DataFrame) -> DataFrame:
 
     ``rows`` needs ``row_number`` and the columns of ``REQUIRED``, all strings.
     """
-    seq = tx.canonical_sequence(F.col("sign_sequence"))
-    split = rows.withColumn("seq", seq).withColumn("toks", tx.tokens(F.col("seq")))
-    shaped = split.withColumns(
-        {
-            "valid": F.filter("toks", tx.shape_ok),
-            "bad": F.filter("toks", lambda t: ~tx.shape_ok(t)),
-        }
-    ).withColumn("sanitized", F.array_join("valid", " "))
+
+    def once(df: DataFrame, **columns: Column) -> DataFrame:
+        # Behind a one-row generator an expression is worked out once, whatever uses it.
+        return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+    split = once(once(rows, seq=tx.canonical_sequence(F.col("sign_sequence"))), toks=tx.tokens(F.col("seq")))
+    valid = once(split, valid=F.filter("toks", tx.shape_ok))
+    odd = F.filter("toks", lambda t: ~tx.shape_ok(t))
+    all_good = F.size("valid") == F.size("toks")
+    shaped = once(valid, bad=F.when(all_good, F.array().cast("array<string>")).otherwise(odd)).withColumn(
+        "sanitized", F.array_join("valid", " ")
+    )
+    good = F.size("valid")
     missing = F.filter(
         F.array(*[F.when(_text(c) == "", F.lit(c)) for c in REQUIRED]), lambda c: c.isNotNull()
     )
@@ -44,9 +49,9 @@ def prepare(rows: DataFrame) -> DataFrame:
     after = "malformed_sequence_after_sanitation"
     hard = (
         F.when(F.size(missing) > 0, issue("missing_required_fields", F.array_join(missing, ",")))
-        .when(~tx.plausible(F.col("toks")), issue("malformed_sequence", F.col("seq")))
-        .when(F.size("valid") == 0, issue(after, F.col("seq")))
-        .when(~tx.plausible(F.col("valid")), issue(after, F.col("sanitized")))
+        .when(~tx.plausible(F.col("toks"), good), issue("malformed_sequence", F.col("seq")))
+        .when(good == 0, issue(after, F.col("seq")))
+        .when(~all_good & ~tx.plausible(F.col("valid"), good), issue(after, F.col("sanitized")))
     )
     return shaped.withColumn("hard", hard).withColumns(
         {
@@ -228,10 +233,8 @@ def merge_lists(stored: DataFrame, new: DataFrame, now: str) -> DataFrame:
     # A link is provenance as well.
     pairs.append(F.struct(F.lit("provenance").alias("field"), F.col("provenance_url").alias("value")))
     long = both.select("key", F.inline(F.array(*pairs))).where(F.col("value") != "")
-    ids = F.col("field") == "source_id"
-    pages = list_pages(long.where(ids), ["key", "field"], "value", "|").unionByName(
-        list_pages(long.where(~ids), ["key", "field"], "value", " | ")
-    )
+    separator = F.when(F.col("field") == "source_id", "|").otherwise(" | ")
+    pages = list_pages(long, ["key", "field"], "value", separator)
     texts = both.groupBy("key").agg(*[F.any_value(c).alias(c) for c in MERGE_KEY])
     return pages.join(texts, "key").select(*MERGE_KEY, "field", "page", "items", "item_count")
 

@@ -242,3 +242,10 @@ def test_ingest_merges_and_gate_closes(spark, tmp_path):
     bad = _imports(spark, [*good[:10], (11, "Src A", "HT 1", "x", "", "u", "")])
     with pytest.raises(ValueError, match="aborted"):
         jobs.run_ingest(spark, bad, stored, known, str(tmp_path / "b"), "r1")
+
+
+def test_patterns_search_no_ranges():
+    """Ranges in a class cost a test each for every character; named characters are one look-up."""
+    from linegrain.functions import text as tx
+
+    assert not any(r in p for p in (tx.TOKEN, tx.SHAPE) for r in ("A-Z", "0-9", r"\s"))

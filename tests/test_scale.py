@@ -75,3 +75,19 @@ def test_long_sessions_stay_one_line(spark):
     )
     (line,) = corpora.session_lines(events).collect()
     assert line["signs"] == [f"E{i}" for i in range(2_500)]
+
+
+def test_list_pages_run_their_input_once(spark):
+    """Sizing and ranking the groups does not work the input out again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.range(20).selectExpr("id % 3 AS k", "cast(id AS string) AS s").mapInPandas(count, "k bigint, s string")
+    separator = F.when(F.col("k") == 1, "|").otherwise(" | ")
+    pages = {r["k"]: r["items"] for r in scale.list_pages(rows, ["k"], "s", separator).collect()}
+    assert pages == {k: ("|" if k == 1 else " | ").join(sorted(str(i) for i in range(20) if i % 3 == k)) for k in range(3)}
+    assert seen.value == 20
