@@ -197,8 +197,8 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
         lambda b: _anchored(b, ["doc", "content"]),
         "doc long, content long, anchor long, low short, high short, core long, stretch long",
     )
-    anchors = pinned(anchors, "repeat-anchors").withColumn("copies", F.lit(1).cast("long"))
-    shared = _ranked(anchors, "repeat")
+    # found twice, for the ranks and for the items that share one: cheaper than all of them on disk to the end
+    shared = _ranked(anchors.withColumn("copies", F.lit(1).cast("long")), "repeat")
     place = ["doc", "content", "anchor"]
     classes = pinned(_classes(shared, place), "repeat-classes")
     whole = shared.join(classes.where("n > 1").select("core", "stretch"), ["core", "stretch"])
@@ -219,7 +219,9 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     found = None
     dealt = items.select("iid", "low", "high", F.col("high").alias("top"), "copies", "context")
     for width in (CELL, 1):
-        cells = pinned(dealt.mapInArrow(partial(_cells, width=width), _CELLS), f"repeat-cells-{width}")
+        cells = dealt.mapInArrow(partial(_cells, width=width), _CELLS)
+        if width == 1:  # these stand behind a join, the others are dealt again from the items
+            cells = pinned(cells, "repeat-cells-1")
         shared = _ranked(cells, f"repeat-{width}")
         classes = pinned(_classes(shared, ["iid"]), f"repeat-classes-{width}")
         hits = shared.where("copies = 1").join(classes.where("n > 1").select("core", "stretch"), ["core", "stretch"])

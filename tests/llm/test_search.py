@@ -94,6 +94,16 @@ def test_repeat_query(spark):
     check_repeats([tuple(r) for r in found.collect()], docs)
 
 
+def test_repeat_tables_on_disk(spark, monkeypatch):
+    """What grows with the text is not kept: neither all anchors nor the cells of all items."""
+    kept = []
+    plain = repeats.pinned
+    monkeypatch.setattr(repeats, "pinned", lambda df, name: kept.append(name) or plain(df, name))
+    docs = spark.createDataFrame([(i, f"{i} " + "a passage that stands in both texts " * 9) for i in range(2)], "doc_id long, text string")
+    assert repeats.remove_repeats(docs, carry=["doc_id"]).where("n_removed > 0").count() == 2
+    assert not {"repeat-anchors", "repeat-cells-8"} & set(kept)
+
+
 def test_repeat_edge_rows(spark, monkeypatch):
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
