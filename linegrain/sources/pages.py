@@ -6,7 +6,7 @@ lists and tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linegrain.functions import text as tx
@@ -24,6 +24,11 @@ HEADER_MARKS = ["LINE", "STATEMENT", "LOGOGRAM"]
 HEADER_LABELS = [*HEADER_MARKS, "NUMBER", "FRACTION", "SIDE", "SIDE.LINE"]
 
 
+def _made(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns made once: behind a one-row generator no filter or other column makes them again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def table_rows(
     pages: DataFrame,
     key: str,
@@ -38,8 +43,9 @@ def table_rows(
     bodies = F.slice(F.split(html, heading), 2, F.size(titles) + 1)
     sections = pages.select(
         key, F.posexplode(F.arrays_zip(titles.alias("title"), bodies.alias("body"))).alias("s", "x")
-    ).select(key, "s", tx.artifact_key(F.col("x.title")).alias("artifact_id"), F.col("x.body").alias("body"))
-    tables = sections.where(F.col("artifact_id").rlike("[0-9]")).select(
+    )
+    named = _made(sections, artifact_id=tx.artifact_key(F.col("x.title"))).withColumn("body", F.col("x.body"))
+    tables = named.where(F.col("artifact_id").rlike("[0-9]")).select(
         key,
         "s",
         "artifact_id",
@@ -57,32 +63,24 @@ def table_rows(
         "artifact_id",
         "t",
         (F.col("r") + 1).alias("r"),
-        F.regexp_extract_all("tr", F.lit(cell), 1).alias("cells"),
+        "tr",
     )
-    rows = rows.where(F.size("cells") >= 2).withColumn("label", tx.clean_html(F.get("cells", F.lit(0))))
+    rows = _made(rows, cells=F.regexp_extract_all("tr", F.lit(cell), 1)).drop("tr").where(F.size("cells") >= 2)
+    rows = _made(rows, label=tx.clean_html(F.get("cells", F.lit(0))))
     upper = F.upper("label")
     marked = (F.col("r") == 1) & upper.rlike("|".join(HEADER_MARKS))
     body = rows.where(~marked & ~upper.isin(HEADER_LABELS))
     fallback = F.concat(F.lit("table"), "t", F.lit("_row"), "r")
-    line = tx.line_key(F.col("label"), fallback)
+    body = _made(body, line=tx.line_key(F.col("label"), fallback))
     parts = F.array(
         F.struct(F.lit("stmt").alias("part"), F.get("cells", F.lit(1)).alias("cell")),
         F.struct(F.lit("log").alias("part"), F.get("cells", F.lit(2)).alias("cell")),
     )
-    found = body.select(key, "s", "artifact_id", "t", "r", line.alias("line"), F.explode(parts).alias("p"))
-    sequence = tx.canonical_sequence(F.col("p.cell"))
-    return (
-        found.where(F.col("p.cell").isNotNull())
-        .select(
-            key,
-            "s",
-            "t",
-            "r",
-            "artifact_id",
-            F.concat("line", F.lit("_"), "p.part").alias("line_id"),
-            sequence.alias("sign_sequence"),
-        )
-        .where(tx.plausible(tx.tokens(F.col("sign_sequence"))))
+    found = body.select(key, "s", "artifact_id", "t", "r", "line", F.explode(parts).alias("p"))
+    found = _made(found.where(F.col("p.cell").isNotNull()), sign_sequence=tx.canonical_sequence(F.col("p.cell")))
+    found = _made(found, _tokens=tx.tokens(F.col("sign_sequence")))
+    return found.where(tx.plausible(F.col("_tokens"))).select(
+        key, "s", "t", "r", "artifact_id", F.concat("line", F.lit("_"), "p.part").alias("line_id"), "sign_sequence"
     )
 
 
