@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linegrain.llm.common import pinned, steps
+from linegrain.llm.common import STEP_BYTES, pinned, steps
 from linegrain.llm.tokens import WHITE, Encoder, encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -50,6 +50,7 @@ _SPACE = re.compile(f"[{WHITE}]+")
 REFS = "hash binary, key binary, start int, size int"
 RESULT = "key binary, n_tokens long, ids_digest binary, decoded_digest binary"
 WHOLE = RESULT + ", ids array<int>, decoded string"
+PACKED = "_key binary, _packed binary"
 
 
 def cut_points(data: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -94,9 +95,36 @@ def _cuts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hash", "key", "start", "size"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd frames behind their size in eight bytes, which a shuffle holds in less room than its own compression."""
+    codec = pa.Codec("zstd", 1)
+    for part in steps(batches, "_text"):
+        raws = [x.encode() for x in part.column("_text").to_pylist()]
+        cells = [len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in raws]
+        yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(cells, pa.binary())], names=["_key", "_packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``_text`` in place of its frames, some STEP_BYTES at a time."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        cells = batch.column("_packed").to_pylist()
+        sizes = np.array([int.from_bytes(x[:8], "little") for x in cells], np.int64)
+        ends, start = np.cumsum(sizes), 0
+        while start < len(cells):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + STEP_BYTES, "right")))
+            texts = [
+                codec.decompress(c[8:], n, asbytes=True).decode() if n else "" for c, n in zip(cells[start:stop], sizes[start:stop].tolist(), strict=True)
+            ]
+            part = batch.slice(start, stop - start)
+            yield part.set_column(part.schema.get_field_index("_packed"), "_text", pa.array(texts, pa.string()))
+            start = stop
+
+
 def _encode_homes(batches: Iterator[pa.RecordBatch], name: str, path: str | None) -> Iterator[pa.RecordBatch]:
     library = encoder(name, path, KEEP)
-    for part in steps(batches, "_text"):
+    for part in _unpacked(batches):
         hashes, chunks = [], []
         for text, homes in zip(part.column("_text").to_pylist(), part.column("homes").to_pylist(), strict=True):
             raw = text.encode()
@@ -199,7 +227,7 @@ def _runs(coded: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]
 def _assemble(batches: Iterator[pa.RecordBatch], name: str, path: str | None, whole: bool) -> Iterator[pa.RecordBatch]:
     library = encoder(name, path, KEEP)
     numbers = [str(i) for i in range(library.tokenizer.get_vocab_size())]
-    for part in steps(batches, "_text"):
+    for part in _unpacked(batches):
         keys, texts = part.column("_key").to_pylist(), part.column("_text").to_pylist()
         known = [
             [(c["start"], c["size"], np.frombuffer(c["ids"], "<u4")) for c in chunks or []] for chunks in part.column("chunks").to_pylist()
@@ -240,7 +268,8 @@ def encode_decode(
     )
     # Equal texts become one row before they are shuffled. One shuffle serves both joins below if their sides are alike
     # to the last filter; a key is never NULL, but its expression could be, and an inner join would filter one side alone.
-    texts = slim.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.any_value("_text").alias("_text"))
+    packed = slim.where(F.col("_key").isNotNull()).mapInArrow(_pack, PACKED)
+    texts = packed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.any_value("_packed").alias("_packed"))
     coded = texts.join(homes, "_key").mapInArrow(lambda b: _encode_homes(b, vocabulary, path), "hash binary, ids binary")
     used = refs.join(coded, "hash").groupBy(F.col("key").alias("_key")).agg(
         F.collect_list(F.struct("start", "size", "ids")).alias("chunks")

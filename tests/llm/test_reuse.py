@@ -85,3 +85,33 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     found = queries.op11_chunk_reuse(spark, folder).collect()
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found) == sorted((i, *plain(t)[:3]) for i, t in texts.items())
+
+
+def test_texts_are_shuffled_once_and_packed(spark, tmp_path, monkeypatch):
+    """Texts are compressed before their one shuffle, and come back whole."""
+    rng = random.Random(8)
+    passage = " ".join(rng.choice(["one", "naïve", "x1y2", "漢字", "words"]) for _ in range(3000))
+    texts = ["", "a", "é漢 " * 5000, "x" * (reuse.STEP_BYTES + 5), "first " + passage, passage + " last"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    keyed = docs.select(F.unhex(F.md5("text")).alias("_key"), F.col("text").alias("_text"))
+    back = keyed.mapInArrow(reuse._pack, reuse.PACKED).mapInArrow(reuse._unpacked, "_key binary, _text string")
+    assert sorted(r["_text"] for r in back.collect()) == sorted(texts)
+    plans, kept = [], reuse.pinned
+
+    def pinned(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(reuse, "pinned", pinned)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = reuse.encode_decode(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["doc_id"]: r["n_tokens"] for r in found} == {i: plain(t)[0] for i, t in enumerate(texts)}
+    final = plans[-1].split("== Initial Plan ==")[0]
+    grouped = [x for x in final.splitlines() if "SortAggregate(key=[_key" in x]
+    assert grouped and all("_packed" in x and "_text" not in x for x in grouped), grouped
+    assert "ReusedExchange" in final
