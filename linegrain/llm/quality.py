@@ -181,7 +181,7 @@ def _scripts(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     return out
 
 
-def _measure(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], path: str, with_text: bool) -> Iterator[pa.RecordBatch]:
     pieces = _Pieces(path)
     for part in steps(batches, "_text"):
         data, offsets = text_bytes(part.column("_text"))
@@ -214,17 +214,17 @@ def _measure(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             "token_entropy": _entropy(owner, piece, n),
             "script": _scripts(data, offsets),
         }
-        arrays = [part.column(0), *(pa.array(v) for v in columns.values())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["_row", *columns])
+        arrays = [part.column(0), *(pa.array(v) for v in columns.values()), *[part.column("_text")] * with_text]
+        yield pa.RecordBatch.from_arrays(arrays, names=["_row", *columns, *["_text"] * with_text])
 
 
-def measure(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs`` with the measures of its whole text, and the columns to ``carry``."""
+def measure(docs: DataFrame, text: str = "text", carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """One row per row of ``docs`` with the measures of its whole text, the columns to ``carry`` and, if wanted, ``_text``."""
     carried = F.struct(*[F.col(c) for c in (docs.columns if carry is None else carry)])
     slim = docs.select(carried.alias("_row"), F.col(text).alias("_text"))
-    schema = f"_row {slim.schema['_row'].dataType.simpleString()}, {MEASURES}"
+    schema = f"_row {slim.schema['_row'].dataType.simpleString()}, {MEASURES}" + ", _text string" * with_text
     path = vocabulary(PIECES)
-    return slim.mapInArrow(lambda batches: _measure(batches, path), schema)
+    return slim.mapInArrow(lambda batches: _measure(batches, path, with_text), schema)
 
 
 def _band(language: Column, bands: dict, which: int) -> Column:
@@ -255,5 +255,7 @@ def judge(measured: DataFrame, language: Column, bands: dict | None = None) -> D
 
 def keep_good(docs: DataFrame, text: str = "text", language: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    judged = judge(measure(docs, text), F.col(f"_row.{language}"))
-    return judged.where("kept").select("_row.*")
+    # The text goes to Python and comes back once, beside the other columns.
+    measured = measure(docs, text, [c for c in docs.columns if c != text], with_text=True)
+    judged = judge(measured, F.col(f"_row.{language}"))
+    return judged.where("kept").select(*[F.col("_text" if c == text else f"_row.{c}").alias(c) for c in docs.columns])

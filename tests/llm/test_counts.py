@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from linegrain.llm import mixing, quality, queries, tokenfile
+from linegrain.llm import common, mixing, quality, queries, tokenfile
 from linegrain.llm.tokens import Encoder, encoder
 from tests.llm import brute
 
@@ -188,3 +189,25 @@ def test_token_query(spark):
         r = found[d.doc_id]
         assert (r.start, r.n_tokens, r.ids_crc32) == (place, len(ids), brute.crc(ids))
         place += len(ids)
+
+
+def test_texts_go_to_python_once_and_in_small_batches(spark):
+    """Quality rules hand the text over beside the other columns, and written steps use batches of bounded size."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = quality.keep_good(docs)
+    sent = [x for x in good._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in x]
+    assert len(sent) == 1
+    below = good._jdf.queryExecution().optimizedPlan().toString().split(sent[0])[1].splitlines()[1]
+    assert "struct(" in below and "text, text#" not in below, below
+    judged = quality.judge(quality.measure(docs), F.col("_row.lang")).where("kept").select("_row.*")
+    assert good.columns == docs.columns and sorted(good.collect(), key=str) == sorted(judged.collect(), key=str)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    wide = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    seen = [r["n"] for r in common.pinned(wide.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(seen) > 40 << 20 and max(seen) <= common.BATCH_BYTES + (2 << 20)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
