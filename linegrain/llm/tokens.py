@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 
@@ -52,10 +53,11 @@ _RUN = re.compile(f" ?(?:[{_LATIN}]+|[0-9]+|[{_SIGNS}]+)").fullmatch
 #: A special token of both vocabularies, which ends whatever stands before it.
 _STOP = "<|endoftext|>"
 #: Parts longer than this are encoded but not remembered; new chunks that go to the library as one text.
-_LONG, _TOGETHER = 64, 512
+LONG, _TOGETHER = 64, 512
+_ID = attrgetter("id")
 
 
-class _Table:
+class Runs:
     """Runs of ids after each other, by number."""
 
     def __init__(self):
@@ -106,7 +108,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = _Table()
+        self.table = Runs()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text as unsigned 32-bit integers."""
@@ -118,18 +120,18 @@ class Encoder:
             self._forget()
         parts = [(self.parts if _is_odd(t) else self.runs)(t) if t else [] for t in texts]
         flat = list(chain.from_iterable(parts))
-        numbers = list(map(self.known.get, flat))
+        numbers = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        at = np.flatnonzero(numbers < 0)
         long: list[str] = []
-        if None in numbers:
-            at = [i for i, n in enumerate(numbers) if n is None]
-            new = list(dict.fromkeys([flat[i] for i in at]))
-            long = [x for x in new if len(x) > _LONG]
-            self._learn([x for x in new if len(x) <= _LONG] if long else new)
+        if len(at):
+            unknown = [flat[i] for i in at.tolist()]
+            new = list(dict.fromkeys(unknown))
+            long = [x for x in new if len(x) > LONG]
+            self._learn([x for x in new if len(x) <= LONG] if long else new)
             kept = self.table.n, self.table.n_ids
             self._learn(long)
-            for i in at:
-                numbers[i] = self.known[flat[i]]
-        ids, count = self.table.gather(np.array(numbers, np.int64))
+            numbers[at] = [self.known[x] for x in unknown]
+        ids, count = self.table.gather(numbers)
         if long:
             self.table.n, self.table.n_ids = kept
             for x in long:
@@ -141,15 +143,15 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         runs = [x for x in new if _RUN(x)]
         shown, merge = self.shown, self.merge
-        found = [[t.id for t in merge((x.lower() if self.lower else x).translate(shown))] for x in runs]
-        counts = np.array([len(x) for x in found], np.int64)
-        self._keep(runs, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts)
+        found = [merge((x.lower() if self.lower else x).translate(shown)) for x in runs]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        self._keep(runs, np.fromiter(map(_ID, chain.from_iterable(found)), np.uint32, int(counts.sum())), counts)
         if len(runs) < len(new):
             self._learn_chunks([x for x in new if x not in self.known])
 
     def _learn_chunks(self, new: list[str]) -> None:
         """Short chunks go to the library together, with a special token between them."""
-        plain = [x for x in new if len(x) <= _LONG and "<|" not in x]
+        plain = [x for x in new if len(x) <= LONG and "<|" not in x]
         groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
         for group, found in zip(groups, self._library([_STOP.join(g) for g in groups]), strict=True):
             at = np.flatnonzero(found == self.stop)

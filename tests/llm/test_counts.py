@@ -211,3 +211,17 @@ def test_texts_go_to_python_once_and_in_small_batches(spark):
     seen = [r["n"] for r in common.pinned(wide.mapInArrow(sizes, "n long"), "sizes").collect()]
     assert sum(seen) > 40 << 20 and max(seen) <= common.BATCH_BYTES + (2 << 20)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_new_runs_are_learned_once():
+    library = Encoder(tokenfile.VOCABULARY)
+    asked = []
+    merge = library.merge
+    library.merge = lambda x: asked.append(x) or merge(x)
+    texts = ["red fox", "", "red fox " + "x" * 90, None, "fox red red"]
+    for _ in range(2):
+        ids, counts = library.encode_many(texts)
+        wanted = [library.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(wanted, []) and counts.tolist() == [len(x) for x in wanted]
+    assert len([x for x in asked if "x" * 90 not in x]) == len({x for x in asked if "x" * 90 not in x})
+    assert not any("x" * 90 in x for x in library.known)
