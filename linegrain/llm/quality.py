@@ -30,13 +30,15 @@ from the work and come back unchanged from :func:`keep_good`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linegrain.llm.common import Words, steps, text_bytes, vocabulary
+from linegrain.llm.common import SMALL_STEP_BYTES, Words, steps, text_bytes, vocabulary
+from linegrain.llm.tokens import LONG, Runs
 
 PIECES = "piece_bpe_32k.model"
 LEAST_WORDS = 50
@@ -97,18 +99,36 @@ class _Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.IsByte(i) for i in range(self.model.GetPieceSize())])
-        self.known: dict[bytes, np.ndarray] = {}
         self.keep = keep
+        self._forget()
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.table = Runs()
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of all words after each other, and how many each word has."""
         if len(self.known) > self.keep:
-            self.known = {}
+            self._forget()
         new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            found = self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
-            fresh = {w: np.array(x, np.int64) for w, x in zip(new, found, strict=True)}
-            self.known.update(fresh)
-        return [self.known[w] for w in words]
+        new.sort(key=lambda w: len(w) > LONG)
+        short = sum(len(w) <= LONG for w in new)
+        self._learn(new[:short])
+        kept = self.table.n, self.table.n_ids
+        self._learn(new[short:])
+        found = self.table.gather(np.array([self.known[w] for w in words], np.int64))
+        self.table.n, self.table.n_ids = kept
+        for w in new[short:]:
+            del self.known[w]
+        return found
+
+    def _learn(self, new: list[bytes]) -> None:
+        if not new:
+            return
+        found = self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
+        counts = np.array([len(x) for x in found], np.int64)
+        self.known.update(zip(new, range(self.table.n, self.table.n + len(new)), strict=True))
+        self.table.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts)
 
 
 def _by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -183,18 +203,16 @@ def _scripts(data: np.ndarray, offsets: np.ndarray) -> list[str]:
 
 def _measure(batches: Iterator[pa.RecordBatch], path: str, with_text: bool) -> Iterator[pa.RecordBatch]:
     pieces = _Pieces(path)
-    for part in steps(batches, "_text"):
+    for part in steps(batches, "_text", SMALL_STEP_BYTES):
         data, offsets = text_bytes(part.column("_text"))
         words = Words(data, offsets)
         raw = data.tobytes()
         _, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        coded = pieces.encode([raw[words.start[i] : words.end[i]] for i in at])
-        size = np.array([len(x) for x in coded], np.int64)
-        flat = np.concatenate(coded) if coded else np.zeros(0, np.int64)
+        flat, size = pieces.encode([raw[words.start[i] : words.end[i]] for i in at])
         begin = np.cumsum(size) - size
         times = size[which]
         place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        piece = flat[np.repeat(begin[which], times) + place]
+        piece = flat[np.repeat(begin[which], times) + place].astype(np.int64)
         owner = np.repeat(words.text, times)
         n = np.bincount(owner, minlength=len(offsets) - 1)
         lead = (data & 0xC0) != 0x80

@@ -225,3 +225,15 @@ def test_new_runs_are_learned_once():
         assert ids.tolist() == sum(wanted, []) and counts.tolist() == [len(x) for x in wanted]
     assert len([x for x in asked if "x" * 90 not in x]) == len({x for x in asked if "x" * 90 not in x})
     assert not any("x" * 90 in x for x in library.known)
+
+
+def test_pieces_are_kept_flat_and_long_words_are_not_kept():
+    pieces = quality._Pieces(common.vocabulary(quality.PIECES), keep=4)
+    words = [b"red", b"x" * 4000, "größe".encode(), b"a1"]
+    for _ in range(3):
+        flat, size = pieces.encode(words)
+        wanted = [pieces.model.encode(w.decode()) for w in words]
+        assert flat.tolist() == sum(wanted, []) and size.tolist() == [len(x) for x in wanted]
+        assert sorted(pieces.known) == sorted(w for w in words if len(w) < 100)
+    assert pieces.table.n == 3 and pieces.table.n_ids == len(flat) - size[1]
+    assert pieces.encode([])[1].tolist() == []
