@@ -68,9 +68,9 @@ def mark_repeats(prepared: DataFrame) -> DataFrame:
     The first row is a map-side combined minimum, so a key with very many
     copies never gathers in one task.
     """
-    accepted = prepared.where(F.col("hard").isNull())
-    first = accepted.groupBy(*DUPLICATE_KEY).agg(F.min("row_number").alias("first_row"))
-    return accepted.join(first, DUPLICATE_KEY, "left").withColumn(
+    accepted = prepared.where(F.col("hard").isNull()).withColumn("_key", key_hash(*DUPLICATE_KEY))
+    first = accepted.groupBy("_key").agg(F.min("row_number").alias("first_row"))
+    return accepted.join(first, "_key", "left").drop("_key").withColumn(
         "is_repeat", F.col("row_number") > F.col("first_row")
     )
 
@@ -220,10 +220,17 @@ def _incoming(stored: DataFrame, new: DataFrame, now: str) -> DataFrame:
     return old.unionByName(fresh.withColumn("is_new", F.lit(True)))
 
 
-def key_hash(artifact: Column | str = "artifact_id", line: Column | str = "line_id", sequence: Column | str = "sign_sequence") -> Column:
-    """256 bits that stand for a merge key: sequences may be long, and a key goes through every shuffle."""
-    parts = [F.col(c) if isinstance(c, str) else c for c in (artifact, line, sequence)]
-    return F.unhex(F.sha2(F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]), 256))
+def _digest(*columns: Column | str) -> Column:
+    parts = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.sha2(F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)
+
+
+def key_hash(*columns: Column | str) -> Column:
+    """128 bits of SHA-256 that stand for columns, a merge key if none are named.
+
+    Sequences may be long, and a key goes through every shuffle.
+    """
+    return F.unhex(F.left(_digest(*(columns or MERGE_KEY)), F.lit(32)))
 
 
 def merge_lists(stored: DataFrame, new: DataFrame, now: str) -> DataFrame:
@@ -234,8 +241,11 @@ def merge_lists(stored: DataFrame, new: DataFrame, now: str) -> DataFrame:
     pairs.append(F.struct(F.lit("provenance").alias("field"), F.col("provenance_url").alias("value")))
     long = both.select("key", F.inline(F.array(*pairs))).where(F.col("value") != "")
     separator = F.when(F.col("field") == "source_id", "|").otherwise(" | ")
-    pages = list_pages(long, ["key", "field"], "value", separator)
-    texts = both.groupBy("key").agg(*[F.any_value(c).alias(c) for c in MERGE_KEY])
+    pages = list_pages(long, ["key", "field"], "value", separator, near=["key"])
+    # New rows move their texts only where no stored row has them.
+    held, fresh = both.where("not is_new"), both.where("is_new")
+    texts = held.unionByName(fresh.join(held.select("key"), "key", "left_anti"))
+    texts = texts.groupBy("key").agg(*[F.any_value(c).alias(c) for c in MERGE_KEY])
     return pages.join(texts, "key").select(*MERGE_KEY, "field", "page", "items", "item_count")
 
 
@@ -263,7 +273,7 @@ def merge(stored: DataFrame, new: DataFrame, now: str) -> DataFrame:
 
 def bucket_of(buckets: int = BUCKETS) -> Column:
     """Where a merge key is stored, from the first bytes of its hash."""
-    head = F.conv(F.substring(F.hex(key_hash()), 1, 8), 16, 10).cast("long")
+    head = F.conv(F.left(_digest(*MERGE_KEY), F.lit(8)), 16, 10).cast("long")
     return (head % buckets).cast("int")
 
 

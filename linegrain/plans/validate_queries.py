@@ -8,7 +8,7 @@ from linegrain.checks import corpus_sql as q
 from linegrain.functions import text as tx
 from linegrain.operators import validate as va
 from linegrain.plans.registry import query
-from linegrain.session import cut
+from linegrain.session import cut, released, stored
 from linegrain.sources import corpora
 
 NOW = "2026-01-01T00:00:00Z"
@@ -195,9 +195,11 @@ MERGE = f"""WITH {PREPARED}, {STORED},
 
 
 def merge_inputs(spark, sf):
-    rows = import_rows(spark, sf)
-    fresh = cut(va.accepted_rows(va.mark_repeats(cut(va.prepare(rows)))))
-    return cut(stored_rows(spark, sf)), fresh
+    # What rows are made of stays behind; only what a merge reads is kept.
+    prepared = stored(va.prepare(import_rows(spark, sf)).drop("seq", "toks", "valid", "bad", "sign_sequence", "doc_id"))
+    fresh = stored(va.accepted_rows(va.mark_repeats(prepared)))
+    released(prepared)
+    return stored(stored_rows(spark, sf)), fresh
 
 
 @query(
@@ -212,11 +214,11 @@ def merge_inputs(spark, sf):
         'notes') USING first(items)) l USING (artifact_id, line_id, sign_sequence)""",
 )
 def merge_upsert(spark, sf):
-    stored, fresh = merge_inputs(spark, sf)
-    return va.merge(stored, fresh, NOW)
+    held, fresh = merge_inputs(spark, sf)
+    return va.merge(held, fresh, NOW)
 
 
 @query("merge_upsert_lists", f"{MERGE} SELECT * FROM lists")
 def merge_upsert_lists(spark, sf):
-    stored, fresh = merge_inputs(spark, sf)
-    return va.merge_lists(stored, fresh, NOW)
+    held, fresh = merge_inputs(spark, sf)
+    return va.merge_lists(held, fresh, NOW)
