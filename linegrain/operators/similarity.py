@@ -23,11 +23,19 @@ sequences themselves are joined to the pairs that are left, once a pair. Keys
 with many pairs are spread over a grid: either side is dealt into rows or
 columns and copied along the other. Whether the LCS fits a word is decided by
 pair.
+
+With few distinct tokens nearly all pairs share keys, most of them several. Then
+keys save nothing: sequences are dealt into blocks, and each pair of blocks is
+one group in which a sequence is compared with all of the other block at once
+(:func:`_block_pairs`). The pairs that come out are the same.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +48,9 @@ EXACT_CLASSES = 16  # lengths up to this are classes of their own
 CLASS_RATIO = 1.25  # longer lengths fall in classes that grow by this
 NATIVE_LCS = 60  # shorter length up to which a 64-bit word holds the LCS state
 PAIRS_PER_TASK = 4_000_000
+#: So many sequences are compared in blocks at once; more of them where keys would meet in a good part of all pairs.
+FEW_SEQUENCES = 20_000
+PAIRS_PER_MEETING = 8
 
 
 def _class_of(length: Column) -> Column:
@@ -222,6 +233,114 @@ def lcs_length_any(short: pd.Series, long: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(short, long, strict=True)])
 
 
+def _padded(signs: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, token numbers by place, -1 behind the end)."""
+    lengths = pc.list_value_length(signs).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = np.full((len(signs), int(lengths.max(initial=0)) + 1), -1, np.int64)
+    places = np.arange(codes.shape[1])
+    codes[places < lengths[:, None]] = pc.list_flatten(signs).to_numpy(zero_copy_only=False)
+    return lengths, codes
+
+
+def _token_sets(codes: np.ndarray, tokens: int) -> np.ndarray:
+    """The distinct tokens of each row as bits of words."""
+    words = np.zeros((len(codes), tokens // 64 + 1), np.uint64)
+    row, place = np.nonzero(codes >= 0)
+    token = codes[row, place]
+    np.bitwise_or.at(words, (row, token // 64), np.uint64(1) << (token % 64).astype(np.uint64))
+    return words
+
+
+def _leading(same: np.ndarray) -> np.ndarray:
+    return np.logical_and.accumulate(same, axis=1).sum(axis=1)
+
+
+def _block_pairs(rows: pa.Table, threshold: float) -> pa.Table:
+    """Similar pairs of one cell: a sequence of the first block against all of the second that its length allows."""
+    rows = rows.combine_chunks()
+    flat = pc.dictionary_encode(pc.list_flatten(rows["signs"])).combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(rows["signs"]).to_numpy())])
+    lengths, codes = _padded(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.indices.cast(pa.int64())))
+    tokens = len(flat.dictionary)
+    order = np.argsort(lengths, kind="stable")
+    lengths, codes = lengths[order], codes[order]
+    number = rows["seq_no"].to_numpy()[order]
+    side = rows["side"].to_numpy()[order]
+    one_block = not (side == 1).any()
+    left = np.flatnonzero(side == 0)
+    right = left if one_block else np.flatnonzero(side == 1)
+    sets = _token_sets(codes, tokens)
+    back = np.full_like(codes, -1)
+    places = np.arange(codes.shape[1])
+    inside = places < lengths[:, None]
+    back[inside] = np.take_along_axis(codes, np.maximum(lengths[:, None] - 1 - places, 0), 1)[inside]
+    r_len, r_codes, r_back, r_sets, r_number = (x[right] for x in (lengths, codes, back, sets, number))
+    by_place = np.ascontiguousarray(r_codes.T)
+    found: list[tuple] = []
+    for i in left:
+        n = int(lengths[i])
+        lo, hi = np.searchsorted(r_len, -(-3 * n // 8)), np.searchsorted(r_len, 8 * n // 3, "right")
+        if lo >= hi:
+            continue
+        mask = np.zeros(tokens + 1, np.uint64)  # the last one is for places behind the end
+        np.bitwise_or.at(mask, codes[i, :n], np.uint64(1) << np.arange(n, dtype=np.uint64))
+        full = np.uint64((1 << n) - 1)
+        state = np.full(hi - lo, full)
+        for at in range(int(r_len[hi - 1])):
+            hit = state & mask[by_place[at, lo:hi]]
+            state = ((state + hit) | (state - hit)) & full
+        lcs = n - np.bitwise_count(state).astype(np.int64)
+        m = np.maximum(r_len[lo:hi], n)
+        p, q = _leading(r_codes[lo:hi, :n] == codes[i, :n][: r_codes.shape[1]]), _leading(r_back[lo:hi, :n] == back[i, :n])
+        both = np.bitwise_count(r_sets[lo:hi] & sets[i]).sum(axis=1, dtype=np.int64)
+        j = both / np.bitwise_count(r_sets[lo:hi] | sets[i]).sum(axis=1, dtype=np.int64)
+        similarity = 0.4 * (lcs / m) + 0.2 * (p / m) + 0.2 * (q / m) + 0.2 * j
+        near = similarity >= threshold
+        if one_block:
+            near &= r_number[lo:hi] > number[i]
+        at = np.flatnonzero(near)
+        other = r_number[lo:hi][at]
+        found.append((np.minimum(other, number[i]), np.maximum(other, number[i]), similarity[at]))
+    kinds = (np.int64, np.int64, np.float64)
+    columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind) for k, kind in enumerate(kinds)]
+    return pa.table(dict(zip(("seq_no_a", "seq_no_b", "similarity"), columns, strict=True)))
+
+
+def in_blocks(types: DataFrame, rows: int, threshold: float = THRESHOLD, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """(seq_no_a, seq_no_b, similarity) of all similar pairs, by comparing each block of sequences with each.
+
+    For sequences of up to NATIVE_LCS tokens. A cell has ``pairs_per_task``
+    pairs on average, however many sequences there are.
+    """
+    blocks = max(1, -(-rows // max(1, int(pairs_per_task**0.5))))
+    mine = types.where(F.size("signs") > 0).select(
+        F.col("seq_no").cast("long").alias("seq_no"), "signs", F.pmod(F.xxhash64("seq_no"), F.lit(blocks)).alias("own")
+    )
+    each = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    cells = each.select(
+        (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("cell"), "seq_no", "signs",
+        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
+    )
+    # A number that is named: cells are small and their work is not, so tasks must not be put together by their bytes.
+    dealt = cells.repartition(min(blocks * (blocks + 1) // 2, 4096), "cell")
+    return dealt.groupBy("cell").applyInArrow(
+        lambda table: _block_pairs(table, threshold), "seq_no_a long, seq_no_b long, similarity double"
+    )
+
+
+def _dense(seqs: DataFrame, rows: int) -> bool:
+    """Whether keys would meet in a good part of all pairs."""
+    if rows <= FEW_SEQUENCES:
+        return True
+    classes = [r[0] for r in seqs.select(_class_of(F.col("len"))).distinct().collect()]
+    # A few bytes each, and many keys: dealt out by number.
+    dealt = seqs.repartition(4 * seqs.sparkSession.sparkContext.defaultParallelism)
+    sizes = _keyed(dealt, sorted(classes)).groupBy(*GROUP).agg(F.count_if("as_short").alias("s"), F.count_if("as_long").alias("l"))
+    met = sizes.agg(F.sum(F.col("s").cast("double") * F.col("l"))).first()[0] or 0.0
+    return rows * rows / 2 <= PAIRS_PER_MEETING * met
+
+
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns behind a one-row generator, below which the optimizer cannot push filters.
 
@@ -269,7 +388,18 @@ def similar_pairs(
     """All pairs ``seq_no_a < seq_no_b`` of ``types (seq_no, signs)`` at or over the threshold."""
     if threshold < THRESHOLD:
         raise ValueError("the keys are complete only for thresholds of 0.5 and more")
-    seqs = cut(_with_elements(types))
+    nulls = F.max(F.exists("signs", lambda t: t.isNull()))
+    rows, longest, unknown = types.agg(F.count(F.lit(1)), F.max(F.size("signs")), nulls).first()
+    short = (longest or 0) <= NATIVE_LCS and not unknown
+    seqs = None if short and rows <= FEW_SEQUENCES else cut(_with_elements(types))
+    if short and _dense(seqs, rows):
+        texts = types.select("seq_no", "signs")
+        return (
+            in_blocks(types, rows, threshold, pairs_per_task)
+            .join(texts.withColumnsRenamed({"seq_no": "seq_no_a", "signs": "signs_a"}), "seq_no_a")
+            .join(texts.withColumnsRenamed({"seq_no": "seq_no_b", "signs": "signs_b"}), "seq_no_b")
+            .select("seq_no_a", "seq_no_b", "signs_a", "signs_b", "similarity")
+        )
     pairs = cut(candidates(seqs, pairs_per_task))
     bodies = types.select("seq_no", "signs").join(seqs.select("seq_no", "elements"), "seq_no")
 
